@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, maglev, token_counts, token_store, warc
+from gridloom.llm import bpe, maglev, ngram_join, pstable, token_counts, token_store, warc
 from gridloom.llm.store import written
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,11 +30,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(_table(spark, sf_dir, "documents"), "text", BYTE_RANKS, public_tokenizers.PATTERN)
     return token_counts.context_table(written(token_counts.length_histogram(lengths), "histogram"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return warc.read_warc(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -45,6 +53,39 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.assign_shards(docs.select("doc_id", "source", "n_chars"), "doc_id", SHARDS)
 
 
+REACH = """
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+part AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+"""
+
+OP4_SQL = f"""
+WITH RECURSIVE ok AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.vec_id <> q.vec_id AND len(p.v) = len(q.v) AND list_cosine_similarity(p.v, q.v) >= 0.9),
+{REACH},
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(part.b, e.vec_id)) AS component_id,
+       e.vec_id <= coalesce(part.b, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN part ON e.vec_id = part.a
+"""
+
+OP6_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g
+      FROM w WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+sim AS (SELECT a, b, both_.n / (p.n + q.n - both_.n) AS s FROM both_ JOIN size p ON a = p.doc_id JOIN size q ON b = q.doc_id),
+link AS (SELECT a, b FROM sim WHERE s >= 0.8),
+same AS (SELECT a, min(b) AS b FROM sim WHERE s = 1 GROUP BY a),
+{REACH},
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(same.b, d.doc_id)) AS class_id, coalesce(n.n, 0) AS n_links,
+       least(d.doc_id, coalesce(part.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(part.b, d.doc_id) AS kept
+FROM documents d LEFT JOIN same ON d.doc_id = same.a LEFT JOIN n ON d.doc_id = n.a LEFT JOIN part ON d.doc_id = part.a
+"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
@@ -60,11 +101,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": op2_token_output,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_embedding_near_dup": op4_embedding_near_dup,
         "op5_token_counts": op5_token_counts,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_warc": op7_warc,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL}
+    return {"op4_embedding_near_dup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_warc": OP7_SQL}
