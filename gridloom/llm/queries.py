@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, maglev, ngram_join, pstable, token_counts, token_store, warc
+from gridloom.llm import bpe, decontaminate, maglev, ngram_join, pstable, pu_quality, secret_scan, token_counts, token_store, warc
 from gridloom.llm.store import written
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return found.select("doc_id", "kind", "candidate", "start", "score", "is_secret")
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", WORD_TOKENIZER, END_ID)
     return token_store.read_tokens(manifest, digests=True).withColumnRenamed("id", "doc_id")
@@ -48,6 +54,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pu_quality.classify(docs, "doc_id", "text", _table(spark, sf_dir, "labels"), "doc_id", "quality", threshold=0.3)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return maglev.assign_shards(docs.select("doc_id", "source", "n_chars"), "doc_id", SHARDS)
@@ -96,18 +112,39 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
 FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
+OP8_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+g AS (SELECT doc_id, len(w) AS size, [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] AS g FROM w WHERE len(w) >= 5),
+ig AS (SELECT item_id, len(w) AS n, [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] AS g FROM iw WHERE len(w) >= 5),
+hit AS (SELECT doc_id, size, unnest(g) AS h, unnest(range(len(g))) AS p FROM g),
+place AS (SELECT DISTINCT n, unnest(g) AS h, unnest(range(len(g))) AS q FROM ig),
+win AS (SELECT DISTINCT doc_id, greatest(0, least(p - q, size - n)) AS start, n FROM hit JOIN place USING (h)),
+wg AS (SELECT doc_id, start, n, len(x) AS size, unnest(x) AS h FROM (SELECT doc_id, start, n, g[start + 1 : start + n - 4] AS x FROM win JOIN g USING (doc_id))),
+wc AS (SELECT doc_id, start, n, size, h, count(*) AS c FROM wg GROUP BY ALL),
+ic AS (SELECT item_id, n, size, h, count(*) AS c FROM (SELECT item_id, n, len(g) AS size, unnest(g) AS h FROM ig) GROUP BY ALL),
+sim AS (SELECT doc_id, start, n, item_id, sum(least(wc.c, ic.c)) / (wc.size + ic.size - sum(least(wc.c, ic.c))) AS similarity
+        FROM wc JOIN ic USING (n, h) GROUP BY doc_id, start, n, item_id, wc.size, ic.size)
+SELECT doc_id, item_id, similarity, start AS start_word, n AS n_words FROM sim WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, n DESC) = 1
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_token_output": op2_token_output,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_embedding_near_dup": op4_embedding_near_dup,
         "op5_token_counts": op5_token_counts,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_warc": op7_warc,
+        "op8_decontamination": op8_decontamination,
+        "op9_quality": op9_quality,
         "op10_sharding": op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_near_dup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_warc": OP7_SQL}
+    return {"op4_embedding_near_dup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_warc": OP7_SQL, "op8_decontamination": OP8_SQL}
