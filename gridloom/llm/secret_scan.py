@@ -19,11 +19,14 @@ RULES = {
     "assignment": r"""(?i)(?:passwd|password|pwd|secret|token|credential|api_?-?key|access_?-?key|auth)["']?(?:=|:=?)["']?([^\s"'<>,;]{6,})""",
     "generic": r"((?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[0-9A-Za-z+/_-]{20,}={0,2})",
 }
+#: A word that stands between a name and its value, and what may be such a value.
+SIGNS = ["=", ":", ":=", "=>", "=="]
+VALUE = r"""^["'`]?([^\s"'`<>,;]{6,})"""
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s\\]+-----END [A-Z ]*PRIVATE KEY-----"
 #: Words whose share of a candidate is its dictionary coverage.
 DICTIONARY = "admin|change|default|demo|dummy|example|fake|foobar|hello|here|insert|letmein|master|mock|pass|password|placeholder|qwerty|replace|sample|secret|super|test|token|user|value|welcome|word|your|key|name|null|none|true|false"
 TELLING = r"(?i)(?:key|token|secret|passw|pwd|credential|auth|login|bearer|private|access)"
-PLACEHOLDER = r"(?i)(?:example|sample|dummy|fake|test|mock|placeholder|redacted|todo|xxx|e\.g\.|like|such|format|checksum|commit|sha1|sha256|md5|digest|uuid|etag|hash|build|version|id)"
+PLACEHOLDER = r"(?i)\b(?:example|sample|dummy|fake|test|mock|placeholder|redacted|todo|xxx|e\.g\.|like|such|format|checksum|commit|sha1|sha256|md5|digest|uuid|etag|hash|build|version|id)\b"
 SAFE_PATH = r"(?i)(?:test|example|sample|fixture|mock|doc|spec|readme)"
 FEATURES = ["length", "transitions", "classes", "digits", "upper", "coverage", "distinct", "hex", "ruled", "path_safe", "path_depth", "before_telling", "before_placeholder", "after_placeholder"]
 TREES, DEPTH, LABELLED, SEED = 40, 8, 6000, 20240307
@@ -89,7 +92,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
         .when(kind == "stripe_key", F.concat(F.lit("sk_live_"), mixed("t", 24)))
         .when(kind == "jwt", F.concat(F.lit("eyJ"), mixed("j", 20), F.lit(".eyJ"), mixed("w", 40), F.lit("."), mixed("x", 43)))
         .when(kind == "generic", F.when(pick("m", 2) == 0, mixed("y", 40)).otherwise(hexes("h", 40)))
-        .otherwise(F.when(pick("m", 3) == 0, mixed("p", 12)).when(pick("m", 3) == 1, hexes("q", 18)).otherwise(F.concat(mixed("r", 9), F.lit("!"), mixed("u", 4))))
+        .otherwise(F.when(pick("m", 3) == 0, mixed("p", 12)).when(pick("m", 3) == 1, hexes("q", 18)).when(pick("m", 6) == 2, hexes("q", 40)).otherwise(F.concat(mixed("r", 9), F.lit("!"), mixed("u", 4))))
     )
     false = (
         F.when(kind == "aws_key", F.concat(F.lit("AKIA"), one("fa", "IOSFODNN7EXAMPLE", "EXAMPLEEXAMPLE12", "XXXXXXXXXXXXXXXX", "0000000000000000")))
@@ -107,7 +110,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
     plain = one("n2", "commit", "checksum", "sha1", "example", "id", "version", "uuid", "test", "see", "hash", "like", "build")
     # A bare digest is a secret only by its neighbours; elsewhere neighbours tell little.
     bare = (F.col("kind") == "generic") & F.col("candidate").rlike("^[0-9a-f-]+$")
-    before = F.when(bare & (label == 1), one("n3", "key", "token", "secret", "apikey", "auth", "bearer")).when(bare, plain).when((label == 0) & (pick("n4", 2) == 0), plain).when(pick("n5", 3) == 0, keyed).otherwise(word("n6"))
+    before = F.when(bare & (label == 1), one("n3", "key =", "token =", "secret:", "apikey", "auth", "bearer", "TOKEN =")).when(bare, plain).when((label == 0) & (pick("n4", 2) == 0), plain).when(pick("n5", 3) == 0, keyed).otherwise(word("n6"))
     after = F.when((label == 0) & (pick("n7", 4) == 0), plain).otherwise(word("n8"))
     path = F.when((label == 0) & (pick("p1", 2) == 0), one("p2", "docs/example.md", "tests/fixture.py", "spec/sample.yml", "README.md")).when(pick("p3", 10) == 0, F.lit("tests/run.py")).otherwise(one("p4", "src", "src/app/config.py", "web", "src12", "deploy/env", "a/b/c.txt"))
     return made.select("candidate", "kind", path.alias("path"), before.alias("before"), after.alias("after"), "label")
@@ -124,15 +127,24 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
     """(id, kind, candidate, start, before, after, path) of every rule's finding in whole texts; null texts have none.
 
-    A word, which is what white space bounds, gives one finding by the first rule that fits it; ``start``
-    is the candidate's first character, counted from 1. Private key blocks may span words.
+    A word, which is what white space bounds, gives one finding by the first rule that fits it, or as the
+    value that a telling name is set to with a sign of SIGNS between them; the name and the sign then are
+    its neighbour. ``start`` is the candidate's first character, counted from 1. Private key blocks may
+    span words.
     """
     places = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"))
     w = F.col("w")
     some = "|".join(f"(?:{p})" for p in RULES.values()).replace("(?i)", "")
     some = some.replace("(?:(?:passwd", "(?:(?i:passwd", 1)
     split = places.select("id", "path", F.split("text", r"\s").alias("w"))
-    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= 8) & F.get(w, i).rlike(some))
+
+    def signed(i: Column) -> Column:
+        return F.coalesce(F.get(w, i - 1).isin(*SIGNS), F.lit(False)) & (i >= 2)
+
+    def told(i: Column) -> Column:
+        return signed(i) & F.get(w, i - 2).rlike(TELLING) & F.get(w, i).rlike(VALUE)
+
+    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: ((F.length(F.get(w, i)) >= 8) & F.get(w, i).rlike(some)) | told(i))
     hits = split.where(F.size("w") > 0).select(
         "id",
         "path",
@@ -141,14 +153,18 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
                 at,
                 lambda i: F.struct(
                     F.get(w, i).alias("word"),
-                    F.when(i > 0, F.get(w, i - 1)).otherwise(F.lit("")).alias("before"),
+                    F.when(signed(i), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))).when(i > 0, F.get(w, i - 1)).otherwise(F.lit("")).alias("before"),
+                    told(i).alias("told"),
                     F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"),
                     F.when(i > 0, F.length(F.array_join(F.slice(w, F.lit(1), i), " ")) + 1).otherwise(F.lit(0)).alias("offset"),
                 ),
             )
         ).alias("hit"),
     ).select("id", "path", "hit.*")
-    found = F.coalesce(*[F.when(F.col("word").rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("word", p, 1).alias("candidate"))) for k, p in RULES.items()])
+    def by(kind: str, rule: str, where: Column) -> Column:
+        return F.when(where, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("word", rule, 1).alias("candidate")))
+
+    found = F.coalesce(*[by(k, p, F.col("word").rlike(p)) for k, p in RULES.items() if k != "generic"], by("assignment", VALUE, F.col("told")), by("generic", RULES["generic"], F.col("word").rlike(RULES["generic"])))
     words = hits.withColumn("found", found).where("found is not null").select(
         "id", "found.kind", "found.candidate", (F.col("offset") + F.expr("locate(found.candidate, word)")).cast("long").alias("start"), "before", "after", "path"
     )
