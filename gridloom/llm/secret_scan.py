@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.store import written
+
 #: Rules by kind, tried in this order on a word; group 1 is the candidate.
 RULES = {
     "aws_key": r"((?:AKIA|ASIA)[0-9A-Z]{16})(?![0-9A-Za-z])",
@@ -31,6 +33,8 @@ SAFE_PATH = r"(?i)(?:test|example|sample|fixture|mock|doc|spec|readme)"
 FEATURES = ["length", "transitions", "classes", "digits", "upper", "coverage", "distinct", "hex", "ruled", "path_safe", "path_depth", "before_telling", "before_placeholder", "after_placeholder"]
 TREES, DEPTH, LABELLED, SEED = 40, 8, 6000, 20240307
 MARK = "[SECRET]"
+#: Documents whose secrets may be broadcast, of so many characters together; beyond either, texts are shuffled to them.
+SENT_DOCS, SENT_CHARS = 500_000, 50_000_000
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -197,5 +201,8 @@ def redacted(docs: DataFrame, key: str, text: str, path: str | None = None, mode
     secrets = scan(docs, key, text, path, model, threshold).where("is_secret").select(F.col(key).alias("__id"), "candidate")
     strings = secrets.groupBy("__id").agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets"))
     clean = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col(text), lambda t, s: F.replace(t, s, F.lit(MARK)))
-    joined = docs.join(strings, docs[key] == strings["__id"], "left")
+    strings = written(strings, "secrets")
+    size = strings.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.array_join("__secrets", ""))).alias("chars")).first()
+    small = size.n <= SENT_DOCS and (size.chars or 0) <= SENT_CHARS
+    joined = docs.join(F.broadcast(strings) if small else strings, docs[key] == strings["__id"], "left")
     return joined.select(*[clean.alias(c) if c == text else docs[c] for c in docs.columns])
