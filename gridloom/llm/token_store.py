@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +26,12 @@ HEAD = "<8sB7x32s"
 TAIL = "<QQI4x8s"
 MAGIC = b"GLTOKEN1"
 INDEX = np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<u8"), ("at", "<u8")])
-#: Pieces and chunks that a process remembers; a cache starts anew when it is full.
-CACHE = 500_000
+#: Chunks that a process remembers; before a text that finds the cache full, it starts anew.
+CACHE = 800_000
+#: Texts that keep their chunks as they are hold other letters, marks of special tokens, or a mark before a final point or comma.
+TRICKY = r"[^\x00-\x{12f}\x{131}-\x{24f}]|<\||[^\s\pL\pN][.,](?:\s|$)"
+#: Characters of texts that are encoded together.
+STEP = 16 << 20
 DICTIONARY_BYTES = 32_768
 #: The dictionary is trained on so many documents of lowest hash, so many characters of each; it affects sizes only.
 SAMPLE_DOCS, SAMPLE_CHARS = 1024, 16_384
@@ -38,8 +43,9 @@ class WordTokenizer:
     """The tokenizers library behind a cache of white-space-separated chunks.
 
     The tokenizer must drop white space before it splits words, so that a text's ids are those of its
-    chunks joined. Chunks of letters below U+0250, where lowering is the same letter by letter and NFC
-    changes nothing, are looked up by word; any other chunk goes to the library whole.
+    chunks joined. In texts of letters below U+0250, where lowering goes letter by letter and NFC changes
+    nothing, chunks are looked up in lower case, and a point or comma that ends a word apart from it.
+    New words go to the library together, other new chunks one by one.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,57 +60,72 @@ class WordTokenizer:
         self.last = np.zeros(size, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile("[\0-ɏ]*")
+        self.plain = regex.compile("[\0-įı-ɏ]*")
         self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
 
     def _raw(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _alone(self, chunk: str) -> bytes:
+        return self._raw(self.library.encode(chunk, add_special_tokens=False).ids)
+
+    def _learn_words(self, new: list[str]) -> None:
         """The library encodes new words in one text; a word's ids end at its word-end token."""
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-        ids = np.array(self.library.encode("\n".join(new), add_special_tokens=False).ids, np.int64)
+        ids = np.array(self.library.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(new) and ends[-1] == len(ids):
-            raw, w = ids.astype(f"<u{self.width}").tobytes(), self.width
-            at = [0, *(w * ends).tolist()]
-            self.pieces.update((p, raw[a:b]) for p, a, b in zip(new, at, at[1:]))
+            raw = ids.astype(f"<u{self.width}").tobytes()
+            at = [0, *(self.width * ends).tolist()]
+            self.chunks.update((p, raw[a:b]) for p, a, b in zip(new, at, at[1:]))
         else:
             for p in new:
-                self.pieces[p] = self._raw(self.library.encode(p, add_special_tokens=False).ids)
+                self.chunks[p] = self._alone(p)
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.chunks) + len(new) > CACHE:
-            self.chunks.clear()
-            self.chunks[""] = b""
-        split: dict[str, list[str]] = {}
+    def _learn(self, new: list[str]) -> None:
+        words, split = set(), {}
         for c in new:
-            if "<|" not in c and self.plain.fullmatch(c):
-                split[c] = self.words.findall(c.lower())
+            if c.isalpha() and c.islower() and self.plain.fullmatch(c):
+                words.add(c)
+            elif "<|" in c or not self.plain.fullmatch(c):
+                self.chunks[c] = self._alone(c)
             else:
-                self.chunks[c] = self._raw(self.library.encode(c, add_special_tokens=False).ids)
-        todo = {p for ps in split.values() for p in ps}
-        if missing := list(todo - self.pieces.keys()):
-            if len(self.pieces) + len(missing) > CACHE:
-                missing = list(todo)
-            self._learn_pieces(missing)
-        get = self.pieces.__getitem__
+                split[c] = self.words.findall(c.lower())
+                words.update(split[c])
+        get = self.chunks.get
+        if missing := [p for p in words if get(p) is None]:
+            self._learn_words(missing)
         for c, ps in split.items():
             self.chunks[c] = b"".join(map(get, ps))
 
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts, one after another, and where each text's end; null is empty."""
+        t = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        easy = pc.utf8_lower(pc.binary_join_element_wise(t, "", " "))
+        easy = pc.replace_substring(pc.replace_substring(easy, ". ", " . "), ", ", " , ")
+        parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(t, TRICKY), t, easy), " ")
+        if isinstance(parts, pa.ChunkedArray):
+            parts = parts.combine_chunks()
+        coded = parts.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        if len(self.chunks) > CACHE:
+            self.chunks.clear()
+            self.chunks[""] = b""
+        ids = list(map(self.chunks.get, chunks))
+        if None in ids:
+            self._learn([c for c, x in zip(chunks, ids) if x is None])
+            ids = [self.chunks[c] if x is None else x for c, x in zip(chunks, ids)]
+        pool = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[code]
+        end = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[code] - (end - n), n) + np.arange(end[-1] if len(end) else 0)
+        last = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+        return pool[at], np.append(0, end)[last]
+
     def encode(self, text: str | None) -> bytes:
-        """Serialized ids of a whole text, in ``width`` bytes each; null is empty."""
-        parts = (text or "").replace("\n", " ").split(" ")
-        found = list(map(self.chunks.get, parts))
-        if None in found:
-            self._learn({p for p, x in zip(parts, found) if x is None})
-            found = list(map(self.chunks.get, parts))
-            if None in found:  # the cache began anew
-                self._learn(set(parts))
-                found = list(map(self.chunks.__getitem__, parts))
-        return b"".join(found)
+        """Serialized ids of one text, in ``width`` bytes each."""
+        return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -138,6 +159,18 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
+def _encoded(enc: WordTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Keys, ids and ends of slices of batches, of about STEP characters or one text each."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + STEP, "right")))
+            part = batch.slice(a, b - a)
+            yield (part.column(0).to_pylist(), *enc.encode_batch(part.column(1)))
+            a = b
+
+
 def write_tokens(df: DataFrame, key: str, text: str, path: str, end_id: int, folder: str | None = None, level: int = 3) -> DataFrame:
     """Encodes every whole text and writes shards to a shared folder; returns their manifest.
 
@@ -165,17 +198,18 @@ def write_tokens(df: DataFrame, key: str, text: str, path: str, end_id: int, fol
         fs, base = filesystem(root)
         out, index, at, total = None, [], struct.calcsize(HEAD), 0
         own = f"{base}/.{part:06d}-{uuid.uuid4().hex}"
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if out is None:
-                    out = fs.open_output_stream(own)
-                    out.write(struct.pack(HEAD, MAGIC, enc.width, hashlib.sha256(sent.value).digest()))
-                ids = enc.encode(t.as_py()) + end
-                frame = pack(ids)
+        for keys, ids, ends in _encoded(enc, batches):
+            if out is None:
+                out = fs.open_output_stream(own)
+                out.write(struct.pack(HEAD, MAGIC, enc.width, hashlib.sha256(sent.value).digest()))
+            raw, a = ids.tobytes(), 0
+            for i, b in zip(keys, (ends * enc.width).tolist()):
+                frame = pack(raw[a:b] + end)
                 out.write(frame)
-                index.append((i is not None, i or 0, len(ids) // enc.width, at))
+                index.append((i is not None, i or 0, (b - a) // enc.width + 1, at))
                 at += len(frame)
-                total += len(ids) // enc.width
+                total += (b - a) // enc.width + 1
+                a = b
         if out is None:
             return
         table = np.array(index, INDEX).tobytes()
