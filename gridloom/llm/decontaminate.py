@@ -107,7 +107,8 @@ def contaminations(docs: DataFrame, key: str, text: str, items: DataFrame, item_
     few = windows.count() <= SENT_IDS
     ids = windows.select("id")
     some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    grams = some.join(windows, "id").select("id", "windows", shingles(words(F.col("text")), n).alias("grams"))
+    # Words first: shingles refer to them at every position, so they must be a column, not an expression.
+    grams = some.join(windows, "id").select("id", "windows", words(F.col("text")).alias("w")).select("id", "windows", shingles(F.col("w"), n).alias("grams"))
     cut = grams.select("id", F.explode("windows").alias("x"), "grams").select("id", "x.start", "x.n", F.expr(f"slice(grams, x.start + 1, x.n - {n - 1})").alias("grams"))
     prints = written(cut.where(F.size("grams") > 0).withColumn("print", simhash(F.col("grams"))), "prints")
 
