@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,52 +49,88 @@ def _lines(items: DataFrame, keys: list[str], p: Pattern, direction: str) -> Dat
     return _collected(marked, [*keys, "line", "island"]).where(_fits(p)).drop("line", "island")
 
 
+def _runs(boxes: list, p: Pattern, direction: str) -> list[list[int]]:
+    """Runs along lines, as ``line_islands`` finds them, for groups that are broken down afterwards."""
+    cross, lead = ((1, 3), 0) if direction == "row" else ((0, 2), 1)
+    on: dict[tuple, list[int]] = {}
+    for i, b in enumerate(boxes):
+        on.setdefault((b[cross[0]], b[cross[1]]), []).append(i)
+    out = []
+    for who in on.values():
+        who.sort(key=lambda i: (boxes[i][lead], i))
+        run = [who[0]]
+        for i, j in zip(who, who[1:]):
+            if DISTANCES[p.distance_kind](boxes[i], boxes[j]) in p.gap:
+                run.append(j)
+            else:
+                out.append(run)
+                run = [j]
+        out.append(run)
+    return out
+
+
 def _kernel(p: Pattern, keys: list[str], direction: str):
     size = (p.size.width, p.size.height) if p.size else None
 
-    def lines(boxes: list) -> list[list[int]]:
-        cross, lead = ((1, 3), 0) if direction == "row" else ((0, 2), 1)
-        on: dict[tuple, list[int]] = {}
-        for i, b in enumerate(boxes):
-            on.setdefault((b[cross[0]], b[cross[1]]), []).append(i)
-        out = []
-        for who in on.values():
-            who.sort(key=lambda i: (boxes[i][lead], i))
-            run = [who[0]]
-            for i, j in zip(who, who[1:]):
-                if DISTANCES[p.distance_kind](boxes[i], boxes[j]) in p.gap:
-                    run.append(j)
-                else:
-                    out.append(run)
-                    run = [j]
-            out.append(run)
-        return out
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pord", "ord", "match_id"], ignore_index=True)
-        boxes = list(zip(*(pdf[c].tolist() for c in "ltrb")))
-        raw = connected(boxes, p.gap, p.distance_kind) if direction == "fill" else lines(boxes)
-        parts = [s for c in raw for s in divided(boxes, c, p.item_count, size, p.allow_breakdown, p.gap, p.distance_kind)]
-        at = [(i, k, s) for k, part in enumerate(parts) for s, i in enumerate(part)]
-        out = pdf.iloc[[i for i, _, _ in at]].copy()
-        out["cluster"], out["seq"] = [k for _, k, _ in at], [s for _, _, s in at]
-        return out
+    def parts(boxes: list) -> list[list[int]]:
+        raw = connected(boxes, p.gap, p.distance_kind) if direction == "fill" else _runs(boxes, p, direction)
+        return [s for c in raw for s in divided(boxes, c, p.item_count, size, p.allow_breakdown, p.gap, p.distance_kind)]
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Clusters of whole groups, which lie one after another in order."""
+        who = list(zip(*(table.column(k).to_pylist() for k in keys)))
+        boxes = list(zip(*(table.column(c).to_pylist() for c in "ltrb")))
+        rows: list[int] = []
+        cluster: list[int] = []
+        seq: list[int] = []
+        a = 0
+        while a < len(who):
+            b = a + 1
+            while b < len(who) and who[b] == who[a]:
+                b += 1
+            for k, part in enumerate(parts(boxes[a:b])):
+                rows += [a + i for i in part]
+                cluster += [k] * len(part)
+                seq += range(len(part))
+            a = b
+        if rows:
+            out = table.take(pa.array(rows, pa.int64()))
+            out = out.append_column("cluster", pa.array(cluster, pa.int64())).append_column("seq", pa.array(seq, pa.int64()))
+            yield from out.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            who = list(zip(*(held.column(k).to_pylist() for k in keys)))
+            cut = len(who) - 1
+            while cut and who[cut - 1] == who[-1]:
+                cut -= 1
+            if cut:
+                yield from done(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield from done(held)
 
     return run
 
 
 def _grouped(items: DataFrame, keys: list[str], p: Pattern, direction: str) -> DataFrame:
-    """Clusters of one document (or one partial match) at a time; a group is the items of a sheet."""
+    """Clusters of one group at a time; a group is the items of one sheet, or of one partial match."""
+    items = items.select(*keys, "match_id", "pord", "ord", "l", "t", "r", "b", "precision", "content")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema) + ", cluster long, seq long"
-    found = items.groupBy(*keys).applyInPandas(_kernel(p, keys, direction), schema)
-    return _collected(found, [*keys, "cluster"]).drop("cluster")
+    lined = items.repartition(*keys).sortWithinPartitions(*keys, "pord", "ord", "match_id")
+    return _collected(lined.mapInArrow(_kernel(p, keys, direction), schema), [*keys, "cluster"]).drop("cluster")
 
 
 def clusters(items: DataFrame, keys: list[str], p: Pattern) -> DataFrame:
     """(keys, l, t, r, b, n, mean, ord, items): the clusters of each group by the pattern's direction.
 
     ``auto`` takes rows or columns, whichever gives a group fewer clusters (rows if as many). Rows and
-    columns without breakdown stay in SQL; connected groups and breakdown run per group in pandas.
+    columns without breakdown stay in SQL; connected groups and breakdown run a group at a time in Python.
     """
     if p.direction == "fill":
         return _grouped(items, keys, p, "fill")
