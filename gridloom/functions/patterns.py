@@ -12,7 +12,7 @@ from gridloom.functions.text import preprocessed
 
 FLAGS = {"I": "i", "IGNORECASE": "i", "M": "m", "MULTILINE": "m", "S": "s", "DOTALL": "s", "X": "x", "VERBOSE": "x"}
 #: What the letter helpers stand for in patterns of syntax "+letters".
-LETTERS = {r"\Z": "[A-Z]", r"\z": "[a-z]", r"\Я": "[А-ЯЁ]", r"\я": "[а-яё]", r"\б": "[А-ЯЁа-яё]", r"\Б": "[А-ЯЁа-яё]", r"\L": "[A-Za-zА-ЯЁа-яё]"}
+LETTERS = {"Z": "[A-Z]", "z": "[a-z]", "Я": "[А-ЯЁ]", "я": "[а-яё]", "б": "[a-zа-яё]", "Б": "[A-ZА-ЯЁ]", "L": "[A-ZА-ЯЁa-zа-яё]"}
 MATCH_TYPE = "struct<cell_type:string,pattern_ix:int,confidence:double,text:string,matched:string,precision:double,captures:map<string,string>>"
 
 
@@ -22,7 +22,8 @@ def decode_spaces(pattern: str) -> str:
 
 
 def inject_letters(pattern: str) -> str:
-    return re.sub(r"\\[ZzЯяБбL]", lambda m: LETTERS[m[0]], pattern)
+    """Letter helpers for character classes; an escaped backslash before the letter is none."""
+    return re.sub(r"(\\\\)|\\([ZzЯяБбL])", lambda m: m[1] or LETTERS[m[2]], pattern)
 
 
 def java_pattern(pattern: str, flags: str = "") -> str:

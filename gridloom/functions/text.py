@@ -30,10 +30,10 @@ def fix_sparse_words(c: Column) -> Column:
     """Joins words whose letters are set apart by spaces; gaps twice as wide as the narrowest part words.
 
     A text changes only where twice its spaces are at least its length less one, and some gap lies between
-    two other characters.
+    two letters or digits.
     """
     spaces = F.length(c) - F.length(remove_all_spaces(c))
-    gaps = F.regexp_extract_all(c, F.lit(r"(?U)(?<=\S)\s+(?=\S)"), F.lit(0))
+    gaps = F.regexp_extract_all(c, F.lit(r"(?U)\b\s+\b"), F.lit(0))
     width = F.array_min(F.transform(gaps, lambda g: F.length(g))) * 2
     parts = F.split(c, F.concat(F.lit("[ ]{"), width.cast("string"), F.lit("}")))
     words = F.filter(F.transform(parts, lambda w: F.regexp_replace(w, r"(?U)\s+", "")), lambda w: w != "")

@@ -16,7 +16,7 @@ from gridloom.staging import staged
 
 ISSUES = "doc_id string, severity string, code string, message string, pattern_name string, wave_index int, expected string, actual string"
 #: Stable codes of diagnostics.
-COUNT_MISMATCH, LIMIT_APPLIED, OVERLAP_MODE, PARSE_EXCEPTION = "PATTERN_COUNT_MISMATCH", "MATCH_LIMIT_APPLIED", "UNKNOWN_OVERLAP_MODE", "PARSE_EXCEPTION"
+COUNT_MISMATCH, LIMIT_APPLIED, OVERLAP_MODE, PARSE_EXCEPTION = "PATTERN_COUNT_MISMATCH", "MATCH_LIMIT_APPLIED", "OVERLAP_RESOLUTION_UNEXPECTED_MODE", "PARSE_EXCEPTION"
 
 
 class Matched:
