@@ -7,7 +7,6 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontaminate, maglev, ngram_join, pstable, pu_quality, secret_scan, token_counts, token_store, warc
 from gridloom.llm.store import written
