@@ -43,7 +43,7 @@ def java_pattern(pattern: str, flags: str = "") -> str:
 
 
 def _escaped_classes(p: str) -> str:
-    """Inside [...] Java reads [ and && as operators; Python doesn't."""
+    """Inside [...] Java reads [ and && as operators; Python doesn't. Outside, a repetition needs its lower bound."""
     out, inside, i = [], False, 0
     while i < len(p):
         c = p[i]
@@ -51,7 +51,9 @@ def _escaped_classes(p: str) -> str:
             out.append(p[i : i + 2])
             i += 2
             continue
-        if not inside and c == "[":
+        if not inside and c == "{" and p[i + 1 : i + 2] == ",":
+            out.append("{0")
+        elif not inside and c == "[":
             inside = True
             out.append(c)
             if p[i + 1 : i + 2] == "^":

@@ -26,7 +26,7 @@ def test_text(spark):
     assert list(r) == ["a b c", "a-b-c", ["ab", "cd", "e"], None, "Яя#"]
 
 
-PATTERNS = [("abc+", "", "start", "abccX"), ("[oо]", "I", "start", "O"), (r"(?P<day>\d\d)\.(\d\d)", "", "both", "05.11"), (r"\d+\Z", "", "", "a12"), ("[a[]b", "", "start", "[b"), ("b", "", "end", "aab"), ("x y", "", "start", "x  y"), ("a{2}", "", "start", "aaa"), ("é", "I", "start", "É")]
+PATTERNS = [("abc+", "", "start", "abccX"), ("[oо]", "I", "start", "O"), (r"(?P<day>\d\d)\.(\d\d)", "", "both", "05.11"), (r"\d+\Z", "", "", "a12"), ("[a[]b", "", "start", "[b"), ("b", "", "end", "aab"), ("x y", "", "start", "x  y"), ("a{2}", "", "start", "aaa"), ("a{,2}b", "", "start", "aab"), ("é", "I", "start", "É")]
 
 
 @pytest.mark.parametrize(("p", "flags", "anchors", "s"), PATTERNS)
