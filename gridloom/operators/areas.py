@@ -66,11 +66,12 @@ def _related(p: Pattern, done: list[Component], c: Component, at: dict[str, int]
     return ok
 
 
-def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame], dependent: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
+def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame], dependent: Callable[[str, DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Candidates of an area pattern before overlapping ones are settled.
 
     ``lookup`` gives a pattern's matches (with pord); ``dependent`` those of a pattern that is searched in
-    the region of each partial match, from (doc_id, sid, region). An anchor gives one area at most; a
+    the region of each partial match, from (doc_id, sid, region); ``keep`` stages partial matches that are
+    read twice. An anchor gives one area at most; a
     document in which a required component has no candidate gives none.
     """
     plan = p.planned(grammar)
@@ -93,6 +94,7 @@ def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame
         keys = ["doc_id"]
         if sub.dependent and dependent:
             state = state.withColumn("sid", F.concat_ws(".", "anchor", F.array_join(F.transform("path", lambda x: x.cast("string")), ".")))
+            state = keep(state)
             region = child_region(F.col("rb"), c.location, c.inner)
             if c.size:
                 region = narrowed(region, (c.size.width, c.size.height))
@@ -101,9 +103,12 @@ def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame
             keys = ["doc_id", "sid"]
         else:
             cand = candidates(lookup(c.pattern), c, p)
-        joined = state.join(cand, keys)
-        joined = joined.withColumn("nrb", intersect_borders(F.col("rb"), F.col("crb"), _size(p)))
-        joined = joined.where(ranged_valid(F.col("nrb")) & _related(p, plan[:i], c, at))
+        met = intersect_borders(F.col("rb"), F.col("crb"), _size(p))
+        on = ranged_valid(met) & _related(p, plan[:i], c, at)
+        for k in keys:
+            cand = cand.withColumnRenamed(k, f"c_{k}")
+            on = on & (F.col(k) == F.col(f"c_{k}"))
+        joined = state.join(cand, on, "left" if c.optional else "inner").withColumn("nrb", met)
         if c.inner:
             d1, d2 = distance_to_overlap(F.col("cbox"), F.col("bx")), F.lit(0)
         else:
@@ -114,23 +119,23 @@ def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame
         order = own.orderBy("d1", "d2", F.desc("cprecision"), F.col("cbox.l") + F.col("cbox.t"), "corder", "cid")
         ranked = joined.withColumn("rank", F.row_number().over(order)).withColumn("nearest", F.min("d1").over(own))
         ranked = ranked.where(F.col("d1") <= F.greatest(F.col("nearest") * CUTOFF, F.lit(LEAST_CUTOFF)))
-        held = [f"p{k}" for k in range(i)]
+        # An optional component's first row stands for its absence too, so the partial matches are read once.
+        ways = F.array(F.lit(True), F.lit(False)) if c.optional else F.array(F.lit(True))
+        ranked = ranked.withColumn("used", F.explode(F.when(F.col("rank") == 1, ways).otherwise(F.array(F.lit(True)))))
+        ranked = ranked.where(~F.col("used") | F.col("cid").isNotNull())
+        use = F.col("used")
         grown = ranked.select(
             "doc_id",
             "anchor",
             "aord",
-            F.concat("path", F.array("rank")).alias("path"),
-            F.col("nrb").alias("rb"),
-            (box_union(F.col("bx"), F.col("cbox")) if c.inner else F.col("bx")).alias("bx"),
-            F.concat("picks", F.array("pick")).alias("picks"),
-            (F.col("score") + F.col("cprecision") * c.weight).alias("score"),
-            *held,
-            F.struct(F.col("cbox.l"), F.col("cbox.t")).alias(f"p{i}"),
+            F.concat("path", F.array(F.when(use, F.col("rank")).otherwise(F.lit(SKIP)))).alias("path"),
+            F.when(use, F.col("nrb")).otherwise(F.col("rb")).alias("rb"),
+            (F.when(use, box_union(F.col("bx"), F.col("cbox"))).otherwise(F.col("bx")) if c.inner else F.col("bx")).alias("bx"),
+            F.when(use, F.concat("picks", F.array("pick"))).otherwise(F.col("picks")).alias("picks"),
+            F.when(use, F.col("score") + F.col("cprecision") * c.weight).otherwise(F.col("score")).alias("score"),
+            *[f"p{k}" for k in range(i)],
+            F.when(use, F.struct(F.col("cbox.l"), F.col("cbox.t"))).alias(f"p{i}"),
         )
-        if c.optional:
-            none = F.lit(None).cast("struct<l:int,t:int>")
-            skipped = state.withColumn("path", F.concat("path", F.array(F.lit(SKIP)))).withColumn(f"p{i}", none)
-            grown = grown.unionByName(skipped.select(*grown.columns))
         state = grown
     w = Window.partitionBy("doc_id", "anchor").orderBy("path")
     best = state.withColumn("n", F.row_number().over(w)).where("n = 1").withColumn("box", minimal_box(F.col("rb"))).where("box is not null")

@@ -124,7 +124,7 @@ def run(grammar: Grammar, cells: DataFrame, target: str | None = None, everythin
             elif p.kind == "array":
                 rows = array_matches(out.lookup(p.item_pattern), p)
             else:
-                rows = area_matches(grammar, p, out.lookup, dependent)
+                rows = area_matches(grammar, p, out.lookup, dependent, (lambda df: staged(df, "partial")) if stage else (lambda df: df))
                 rows = above_threshold(rows)
                 rows = rows if p.allows_overlapping else settled(staged(rows, "areas") if stage else rows)
             out.own[n] = keep(out.checked(p, rows, i), n) if p.kind != "cell" else out.checked(p, rows, i)
