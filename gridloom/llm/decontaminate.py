@@ -127,5 +127,6 @@ def contaminations(docs: DataFrame, key: str, text: str, items: DataFrame, item_
 
 def decontaminated(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, **options) -> DataFrame:
     """``docs`` without those that hold an item; rows without a key stay, and all columns are as they were."""
-    gone = contaminations(docs, key, text, items, item_key, item_text, **options).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    gone = written(contaminations(docs, key, text, items, item_key, item_text, **options).select(F.col(key).alias("__gone")).distinct(), "gone")
+    few = gone.count() <= SENT_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["__gone"], "left_anti")

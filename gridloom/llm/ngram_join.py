@@ -215,5 +215,6 @@ def jaccard_join(df: DataFrame, key: str, text: str, threshold: float = THRESHOL
 def one_of_each(df: DataFrame, key: str, text: str, **options) -> DataFrame:
     """``df`` without the documents that another of their component stands for; rows without a key stay."""
     joined = jaccard_join(df, key, text, **options)
-    gone = joined.where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__gone")).distinct()
-    return df.join(gone, df[key].cast("bigint") == gone["__gone"], "left_anti")
+    gone = written(joined.where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__gone")).distinct(), "gone")
+    few = gone.count() <= SENT_IDS
+    return df.join(F.broadcast(gone) if few else gone, df[key].cast("bigint") == gone["__gone"], "left_anti")
