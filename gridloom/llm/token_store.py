@@ -27,11 +27,11 @@ TAIL = "<QQI4x8s"
 MAGIC = b"GLTOKEN1"
 INDEX = np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<u8"), ("at", "<u8")])
 #: Chunks that a process remembers; before a text that finds the cache full, it starts anew.
-CACHE = 800_000
+CACHE = 250_000
 #: Texts that keep their chunks as they are hold other letters, marks of special tokens, or a mark before a final point or comma.
 TRICKY = r"[^\x00-\x{12f}\x{131}-\x{24f}]|<\||[^\s\pL\pN][.,](?:\s|$)"
 #: Characters of texts that are encoded together.
-STEP = 16 << 20
+STEP = 8 << 20
 DICTIONARY_BYTES = 32_768
 #: The dictionary is trained on so many documents of lowest hash, so many characters of each; it affects sizes only.
 SAMPLE_DOCS, SAMPLE_CHARS = 1024, 16_384
@@ -136,15 +136,17 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def train_dictionary(df: DataFrame, key: str, text: str, path: str, end_id: int) -> bytes:
-    """A zstandard dictionary from the serialized ids of a bounded sample of documents; empty if there are too few."""
+    """A zstandard dictionary from the serialized ids of a bounded sample of documents; empty if there are too few.
+
+    Only keys are ordered to choose the sample; of its texts no more than SAMPLE_DOCS times SAMPLE_CHARS
+    characters come to the driver, whatever the table's size.
+    """
     import zstandard
 
-    rows = (
-        df.select(F.xxhash64(key, F.substring(text, 1, 64)).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
-        .orderBy("h")
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
+    k = F.col(key)
+    some = df.where(k.isNotNull()).select(k.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_DOCS).distinct()
+    texts = df.select(k.alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(some), "k", "left_semi")
+    rows = texts.groupBy("k").agg(F.min("t").alias("t")).orderBy("k").collect()
     enc = tokenizer(path)
     samples = [enc.encode(r.t) + end_id.to_bytes(enc.width, "little") for r in rows]
     try:
