@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 NONE = np.iinfo(np.int64).max
 WIDE = 64
 #: Pieces that a process remembers; the cache starts anew when it is full.
-CACHE = 400_000
+CACHE = 250_000
 #: Pieces of one step, so that a text of any length is held in parts.
 STEP = 65_536
 
@@ -175,11 +175,10 @@ class SegmentTreeBpe:
         self.cache.update(zip(todo, self.encode_pieces([p.encode() for p in todo])))
 
     def _ids(self, groups: list[list[str]]) -> list[bytes]:
-        new = set().union(*groups) - self.cache.keys()
+        every = set().union(*groups)
+        new = {p for p in every if p not in self.cache}
         if new:
-            if len(self.cache) + len(new) > CACHE:
-                new = set().union(*groups)
-            self._learn(new)
+            self._learn(every if len(self.cache) + len(new) > CACHE else new)
         get = self.cache.__getitem__
         return [b"".join(map(get, g)) for g in groups]
 
