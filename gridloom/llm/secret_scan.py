@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.store import written
 
-#: Rules by kind, tried in this order on a word; group 1 is the candidate.
+#: Rules by kind, tried in this order on a word; group 1 is the candidate and ends the match.
 RULES = {
     "aws_key": r"((?:AKIA|ASIA)[0-9A-Z]{16})(?![0-9A-Za-z])",
     "github_token": r"(gh[pousr]_[0-9A-Za-z]{30,})",
@@ -24,6 +24,7 @@ RULES = {
 #: A word that stands between a name and its value, and what may be such a value.
 SIGNS = ["=", ":", ":=", "=>", "=="]
 VALUE = r"""^["'`]?([^\s"'`<>,;]{6,})"""
+SPANS = "array<struct<rule:int,kind:string,candidate:string,from:int,to:int>>"
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s\\]+-----END [A-Z ]*PRIVATE KEY-----"
 #: Words whose share of a candidate is its dictionary coverage.
 DICTIONARY = "admin|change|default|demo|dummy|example|fake|foobar|hello|here|insert|letmein|master|mock|pass|password|placeholder|qwerty|replace|sample|secret|super|test|token|user|value|welcome|word|your|key|name|null|none|true|false"
@@ -131,9 +132,9 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
     """(id, kind, candidate, start, before, after, path) of every rule's finding in whole texts; null texts have none.
 
-    A word, which is what white space bounds, gives one finding by the first rule that fits it, or as the
-    value that a telling name is set to with a sign of SIGNS between them; the name and the sign then are
-    its neighbour. ``start`` is the candidate's first character, counted from 1. Private key blocks may
+    A word, which is what white space bounds, gives every match of every rule, but for those that a match
+    of an earlier rule covers, and the value that a telling name is set to with a sign of SIGNS between
+    them; the name and the sign then are its neighbour. ``start`` is the candidate's first character, counted from 1. Private key blocks may
     span words.
     """
     places = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"))
@@ -165,12 +166,32 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
             )
         ).alias("hit"),
     ).select("id", "path", "hit.*")
-    def by(kind: str, rule: str, where: Column) -> Column:
-        return F.when(where, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("word", rule, 1).alias("candidate")))
 
-    found = F.coalesce(*[by(k, p, F.col("word").rlike(p)) for k, p in RULES.items() if k != "generic"], by("assignment", VALUE, F.col("told")), by("generic", RULES["generic"], F.col("word").rlike(RULES["generic"])))
-    words = hits.withColumn("found", found).where("found is not null").select(
-        "id", "found.kind", "found.candidate", (F.col("offset") + F.expr("locate(found.candidate, word)")).cast("long").alias("start"), "before", "after", "path"
+    def spans(order: int, kind: str, rule: str, where: Column) -> Column:
+        """All matches of a rule in a word; what splits by the rule leaves tells exactly where each ends, and each candidate ends its match."""
+        gaps, whole, value = F.split("word", rule, -1), F.regexp_extract_all("word", F.lit(rule), F.lit(0)), F.regexp_extract_all("word", F.lit(rule), F.lit(1))
+        steps = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.length(g) + F.length(m)), value, lambda n, v: F.struct(n.alias("n"), v.alias("candidate")))
+        # The last gap has no match.
+        steps = F.filter(steps, lambda x: x["candidate"].isNotNull())
+        none = F.array().cast(SPANS)
+        ended = F.aggregate(
+            steps,
+            F.struct(F.lit(0).alias("end"), none.alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["end"] + x["n"]).alias("end"),
+                F.concat(acc["spans"], F.array(F.struct(F.lit(order).alias("rule"), F.lit(kind).alias("kind"), x["candidate"].alias("candidate"), (acc["end"] + x["n"] - F.length(x["candidate"])).alias("from"), (acc["end"] + x["n"]).alias("to")))).alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+        return F.when(where, ended).otherwise(none)
+
+    tried = [(k, p, F.col("word").rlike(p)) for k, p in RULES.items() if k != "generic"]
+    tried += [("assignment", VALUE, F.col("told")), ("generic", RULES["generic"], F.col("word").rlike(RULES["generic"]))]
+    every = hits.withColumn("spans", F.concat(*[spans(i, *t) for i, t in enumerate(tried)]))
+    # A span is left out only where one of an earlier rule covers all of it.
+    own = F.filter("spans", lambda s: ~F.exists("spans", lambda e: (e["rule"] < s["rule"]) & (e["from"] <= s["from"]) & (e["to"] >= s["to"])))
+    words = every.select("id", "offset", "before", "after", "path", F.explode(own).alias("found")).select(
+        "id", "found.kind", "found.candidate", (F.col("offset") + F.col("found.from") + 1).cast("long").alias("start"), "before", "after", "path"
     )
     blocks = places.where(F.col("text").contains("PRIVATE KEY-----")).select("id", "path", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PEM), F.lit(0)))).alias("candidate"))
     blocks = blocks.select("id", F.lit("private_key").alias("kind"), "candidate", F.expr("locate(candidate, text)").cast("long").alias("start"), F.lit("").alias("before"), F.lit("").alias("after"), "path")
