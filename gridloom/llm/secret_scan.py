@@ -24,6 +24,9 @@ RULES = {
 #: A word that stands between a name and its value, and what may be such a value.
 SIGNS = ["=", ":", ":=", "=>", "=="]
 VALUE = r"""^["'`]?([^\s"'`<>,;]{6,})"""
+#: A sign at the end of the name's word or at the start of the value's.
+ENDED, LED = r"(?:={1,2}>?|:=?)$", r"^(?:={1,2}>?|:=?)"
+LED_VALUE = LED + r"""["'`]?((?![=:>])[^\s"'`<>,;]{6,})"""
 SPANS = "array<struct<rule:int,kind:string,candidate:string,from:int,to:int>>"
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s\\]+-----END [A-Z ]*PRIVATE KEY-----"
 #: Words whose share of a candidate is its dictionary coverage.
@@ -133,15 +136,16 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
     """(id, kind, candidate, start, before, after, path) of every rule's finding in whole texts; null texts have none.
 
     A word, which is what white space bounds, gives every match of every rule, but for those that a match
-    of an earlier rule covers, and the value that a telling name is set to with a sign of SIGNS between
-    them; the name and the sign then are its neighbour. ``start`` is the candidate's first character, counted from 1. Private key blocks may
+    of an earlier rule covers, and the value that a telling name is set to in another word, with a sign
+    between them or at either's side; a name and a sign that are words of their own both are its neighbour. ``start`` is the candidate's first character, counted from 1. Private key blocks may
     span words.
     """
     places = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"))
     w = F.col("w")
     some = "|".join(f"(?:{p})" for p in RULES.values()).replace("(?i)", "")
     some = some.replace("(?:(?:passwd", "(?:(?i:passwd", 1)
-    split = places.select("id", "path", F.split("text", r"\s").alias("w"))
+    runs = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    split = places.select("id", "path", runs(r"\S+").alias("w"), runs(r"\s+").alias("blanks"), F.col("text").rlike(r"^\s").cast("int").alias("lead"))
 
     def signed(i: Column) -> Column:
         return F.coalesce(F.get(w, i - 1).isin(*SIGNS), F.lit(False)) & (i >= 2)
@@ -149,7 +153,17 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
     def told(i: Column) -> Column:
         return signed(i) & F.get(w, i - 2).rlike(TELLING) & F.get(w, i).rlike(VALUE)
 
-    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: ((F.length(F.get(w, i)) >= 8) & F.get(w, i).rlike(some)) | told(i))
+    # The last and first characters are looked at before the longer patterns, as most words have no sign.
+    def named(i: Column) -> Column:
+        """The word before ends in a telling name and a sign."""
+        name = F.get(w, i - 1)
+        return (i >= 1) & F.coalesce(F.substring(name, -1, 1).isin("=", ":", ">") & name.rlike(TELLING + r"[^\s=:,;]*" + ENDED) & F.get(w, i).rlike(VALUE), F.lit(False))
+
+    def led(i: Column) -> Column:
+        """The word begins with a sign, after a telling name."""
+        return (i >= 1) & F.coalesce(F.substring(F.get(w, i), 1, 1).isin("=", ":") & F.get(w, i).rlike(LED_VALUE) & F.get(w, i - 1).rlike(TELLING + r"[^\s=:,;]*$"), F.lit(False))
+
+    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: ((F.length(F.get(w, i)) >= 8) & F.get(w, i).rlike(some)) | told(i) | named(i) | led(i))
     hits = split.where(F.size("w") > 0).select(
         "id",
         "path",
@@ -159,9 +173,10 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
                 lambda i: F.struct(
                     F.get(w, i).alias("word"),
                     F.when(signed(i), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))).when(i > 0, F.get(w, i - 1)).otherwise(F.lit("")).alias("before"),
-                    told(i).alias("told"),
+                    (told(i) | named(i)).alias("told"),
+                    led(i).alias("led"),
                     F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"),
-                    F.when(i > 0, F.length(F.array_join(F.slice(w, F.lit(1), i), " ")) + 1).otherwise(F.lit(0)).alias("offset"),
+                    (F.length(F.array_join(F.slice(w, F.lit(1), i), "")) + F.length(F.array_join(F.slice("blanks", F.lit(1), i + F.col("lead")), ""))).alias("offset"),
                 ),
             )
         ).alias("hit"),
@@ -186,7 +201,7 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
         return F.when(where, ended).otherwise(none)
 
     tried = [(k, p, F.col("word").rlike(p)) for k, p in RULES.items() if k != "generic"]
-    tried += [("assignment", VALUE, F.col("told")), ("generic", RULES["generic"], F.col("word").rlike(RULES["generic"]))]
+    tried += [("assignment", VALUE, F.col("told")), ("assignment", LED_VALUE, F.col("led")), ("generic", RULES["generic"], F.col("word").rlike(RULES["generic"]))]
     every = hits.withColumn("spans", F.concat(*[spans(i, *t) for i, t in enumerate(tried)]))
     # A span is left out only where one of an earlier rule covers all of it.
     own = F.filter("spans", lambda s: ~F.exists("spans", lambda e: (e["rule"] < s["rule"]) & (e["from"] <= s["from"]) & (e["to"] >= s["to"])))

@@ -144,6 +144,20 @@ def test_secrets_without_blanks(spark):
     assert clean[1] == '{"k1":"[SECRET]","k2":"[SECRET]","é":"[SECRET]"}' and not any(k in t for t in clean.values() for k in (a, b, gh))
 
 
+def test_secrets_set_across_words(spark):
+    """A sign may stand alone or at either word, after any white space."""
+    value = "Hunt3r2x!"
+    forms = ["password: {}", '"password": "{}"', "token= {}", 'token  =  "{}"', "\n\tsecret\n:=\t{} end", "passwd ={} end", 'api_key =>  "{}"', 'auth ="{}",', '{{"user": "bob", "passw0rd_pwd":   "{}"}}']
+    plain = ["passing: {}", "a = {}", "token {}", "{}"]
+    rows = [(i, f.format(value), "src0") for i, f in enumerate(forms + plain)]
+    found = secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()
+    assert sorted(r.id for r in found) == list(range(len(forms)))
+    texts = {r[0]: r[1] for r in rows}
+    for r in found:
+        at = r.start - 1
+        assert r.kind == "assignment" and texts[r.id][at : at + len(r.candidate)] == r.candidate and r.candidate.startswith(value)
+
+
 def test_forest_on_new_findings(spark):
     model = secret_scan.train(secret_scan.labelled_findings(spark, 3000))
     new = secret_scan.labelled_findings(spark, 1000, seed=99)
