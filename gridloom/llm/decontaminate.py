@@ -81,10 +81,11 @@ def contaminations(docs: DataFrame, key: str, text: str, items: DataFrame, item_
     """(key, item, similarity, start_word, n_words): each document with each item that it holds.
 
     An item is held where a window of as many words (the whole text, if that is shorter) has a weighted
-    Jaccard similarity of word n-grams of ``threshold`` or more; the row names the best window, the first
-    of equal ones. A window without any shingle of the benchmark has a similarity of 0, so windows are cut
-    where a document's shingle is the benchmark's, aligned on it; all of them, from whole texts. Windows
-    are fingerprinted, and looked up in an index of the items' fingerprints that returns all within
+    Jaccard similarity of word n-grams of ``threshold`` or more; the row names the best window, of equal
+    ones the first in which some shared shingle has its place in the item, else the first. A similarity of
+    ``threshold`` takes a least number of shared shingles, so every window, aligned on a shingle or not, is
+    cut that holds so many shingles of items of its length; all of them, from whole texts. Windows are
+    fingerprinted, and looked up in an index of the items' fingerprints that returns all within
     ``radius`` bits; similarity is then computed exactly. Items and texts of fewer than ``n`` words have
     no shingles and match nothing, as do null ones. Rows without a key are left out; of rows that repeat
     a key, each is searched. Repeated items are found alike. Empty tables give no rows.
@@ -102,14 +103,27 @@ def contaminations(docs: DataFrame, key: str, text: str, items: DataFrame, item_
     listed = F.getbit(F.element_at(table, F.shiftright(low, 6).cast("int") + 1), low.bitwiseAND(63).cast("int")) == 1
     hits = rows.select("id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), n)).alias("p", "h")).where(listed)
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n")))
-    windows = hits.join(placed, "h").select("id", start.alias("start"), "n").distinct()
-    windows = written(windows.groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("windows")), "windows")
+    shared = hits.join(placed, "h").groupBy("id", "size", "n").agg(F.array_sort(F.collect_set("p")).alias("at"), F.collect_set(start).alias("aligned"))
+    # Both sides' shingles, of which threshold / (1 + threshold) must be common ones.
+    held = F.least("size", "n") - (n - 1)
+    least = F.greatest(F.lit(1), F.ceil((held + F.col("n") - (n - 1)) * (threshold / (1 + threshold)) - 1e-9).cast("int"))
+    shared = shared.withColumn("held", held).withColumn("least", least).where(F.size("at") >= F.col("least"))
+    # Any ``least`` shingles in a row that fit into one window: the starts of all windows that hold them.
+    runs = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), lambda i: F.struct(F.get("at", i).alias("a"), F.get("at", i + F.col("least") - 1).alias("b")))
+    first = lambda x: F.greatest(F.lit(0), x["b"] - F.col("held") + 1)
+    last = lambda x: F.least(x["a"], F.greatest(F.lit(0), F.col("size") - F.col("n")))
+    fit = F.transform(F.filter(runs, lambda x: first(x) <= last(x)), lambda x: F.sequence(first(x), last(x)))
+    starts = shared.select("id", "size", "n", "aligned", F.explode(F.array_distinct(F.flatten(fit))).alias("start"))
+    windows = starts.select("id", F.struct("start", "n", "size", F.array_contains("aligned", F.col("start")).alias("aligned")).alias("x"))
+    windows = written(windows.groupBy("id").agg(F.collect_list("x").alias("windows")), "windows")
     few = windows.count() <= SENT_IDS
     ids = windows.select("id")
     some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
     # Words first: shingles refer to them at every position, so they must be a column, not an expression.
-    grams = some.join(windows, "id").select("id", "windows", words(F.col("text")).alias("w")).select("id", "windows", shingles(F.col("w"), n).alias("grams"))
-    cut = grams.select("id", F.explode("windows").alias("x"), "grams").select("id", "x.start", "x.n", F.expr(f"slice(grams, x.start + 1, x.n - {n - 1})").alias("grams"))
+    grams = some.join(windows, "id").select("id", "windows", words(F.col("text")).alias("w")).select("id", "windows", F.size("w").alias("size"), shingles(F.col("w"), n).alias("grams"))
+    # Rows that repeat a key have windows of their own lengths.
+    cut = grams.select("id", F.explode(F.filter("windows", lambda x: x["size"] == F.col("size"))).alias("x"), "grams")
+    cut = cut.select("id", "x.start", "x.n", "x.aligned", F.expr(f"slice(grams, x.start + 1, x.n - {n - 1})").alias("grams"))
     prints = written(cut.where(F.size("grams") > 0).withColumn("print", simhash(F.col("grams"))), "prints")
 
     near = index.select("item", "n", F.col("print").alias("item_print"), F.col("grams").alias("item_grams"))
@@ -121,7 +135,7 @@ def contaminations(docs: DataFrame, key: str, text: str, items: DataFrame, item_
     pairs = asked.join(lookup, ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     pairs = written(pairs.select("n", "print", "item", "item_print").distinct().join(near, ["n", "item", "item_print"]), "pairs")
     found = prints.join(pairs, ["n", "print"]).withColumn("similarity", weighted_similarity(F.col("grams"), F.col("item_grams")))
-    best = found.where(F.col("similarity") >= threshold).groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("best"))
+    best = found.where(F.col("similarity") >= threshold).groupBy("id", "item").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"), "n")).alias("best"))
     return best.select(F.col("id").alias(key), "item", "best.similarity", (-F.col("best.s")).alias("start_word"), F.col("best.n").alias("n_words")).withColumnRenamed("item", item_key)
 
 

@@ -170,6 +170,38 @@ def test_contaminations(spark):
     assert decontaminate.contaminations(df, "doc_id", "body", bench.limit(0), "item_id", "text").count() == 0
 
 
+def test_contaminations_reordered(spark):
+    """A passage in another order is held by a window that no shared shingle is aligned on."""
+    rng = random.Random(5)
+    w = [f"i{k}" for k in range(59)]
+    fill = lambda k: rng.choices(VOCAB, k=k)
+    docs = [
+        (1, fill(40) + w[25:50] + w[:25] + fill(40)),
+        (2, w[25:50] + w[:25] + fill(9)),
+        (3, fill(70) + w[30:50] + w[:30]),
+        (4, fill(12) + w[25:40] + fill(10) + w[:25] + fill(30)),
+        (5, fill(30) + w[:49] + fill(30)),
+        (5, fill(3) + w[:50]),
+        (6, w[25:50] + w[:25]),
+        (7, fill(8) + w[:45]),
+    ]
+    item = w[:50]
+    want = {}
+    for d, t in docs:
+        for s in range(max(1, len(t) - 49)):
+            a, b = bag(t[s : s + 50]), bag(item)
+            low = sum((a & b).values())
+            sim = low / (sum(a.values()) + sum(b.values()) - low)
+            if sim >= 0.8:
+                want[d] = max(want.get(d, 0), sim)
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminations(df, "doc_id", "text", bench, "item_id", "text").collect()}
+    assert {1, 2, 3, 6} <= set(want) and 4 not in want
+    assert {d: round(r.similarity, 9) for d, r in got.items()} == {d: round(x, 9) for d, x in want.items()}
+    assert got[1].start_word == 40 and got[5].start_word == 3
+
+
 def test_index_finds_all_within_the_radius():
     """The pigeonhole: among eight blocks one differs in two bits at most."""
     rng = random.Random(3)
