@@ -27,6 +27,7 @@ class Matched:
         self.own: dict[str, DataFrame] = {}
         self.wave: dict[str, int] = {}
         self.order = {n: i for i, n in enumerate(n for w in grammar.waves() for n in w)}
+        self.documents: DataFrame | None = None
         self._issues: list[DataFrame] = []
 
     def _empty(self) -> DataFrame:
@@ -66,11 +67,14 @@ class Matched:
         return out
 
     def checked(self, p: Pattern, found: DataFrame, wave: int) -> DataFrame:
-        """Counts of each document against count_in_document: a mismatch is noted, and what is beyond the upper limit left out."""
+        """Counts of each document, of those without matches too, against count_in_document: a mismatch is noted, and what is beyond the upper limit left out."""
         span = p.count_in_document
         if span.start is None and span.stop is None:
             return found
-        counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        each = found.select("doc_id", F.lit(1).alias("n"))
+        if self.documents is not None:
+            each = each.unionByName(self.documents.select("doc_id", F.lit(0).alias("n")))
+        counts = each.groupBy("doc_id").agg(F.sum("n").alias("n"))
         text = f"{'' if span.start is None else span.start}..{'' if span.stop is None else span.stop}"
         bad = F.lit(False)
         if span.start is not None:
@@ -98,6 +102,7 @@ def run(grammar: Grammar, cells: DataFrame, target: str | None = None, everythin
     found = cell_matches(cells, grammar.effective_cell_types())
     found = staged(found.select("doc_id", "cell_id", "x", "y", "w", "h", "content", "cell_type", "confidence"), "types") if stage else found
     out = Matched(grammar, cells.sparkSession, dict(cells.dtypes)["doc_id"])
+    out.documents = cells.select("doc_id").distinct()
     terminals = terminal_matches(grammar, found)
     live = set(grammar.patterns) if everything else grammar.live(target)
     keep = (lambda df, n: staged(df, "wave")) if stage else (lambda df, n: df)

@@ -86,6 +86,13 @@ def test_context_components(spark):
     assert boxes(m.own["coast"]) == [(1, 0, 2, 2)]
 
 
+def test_count_of_none(spark):
+    """A lower bound is missed by documents without any match too."""
+    g = read_grammar({"cell_types": one_type("o", "x"), "patterns": {"o": {"kind": "cell", "content_type": "o"}, "x": {"kind": "cell", "content_type": "x"}, "some": {"kind": "area", "root": True, "count_in_document": "1+", "inner": {"s": {"pattern": "o"}}}}})
+    m = run(g, text_cells(docs(spark, ("a", "o\tx"), ("b", "x\tx")), "d", "t"))
+    assert [(r.doc_id, r.code, r.actual) for r in m.issues().collect()] == [("b", "PATTERN_COUNT_MISMATCH", "0")]
+
+
 def test_packing_and_breakdown(spark):
     square = {f"p{x}{y}": {"pattern": "o", "location": {"left": x, "top": y, "right": 1 - x, "bottom": 1 - y}} for x in (0, 1) for y in (0, 1)}
     g = read_grammar({"cell_types": one_type("o"), "patterns": {"o": {"kind": "cell", "content_type": "o"}, "four": {"kind": "area", "size": "2 x 2", "inner": square}, "parts": {"kind": "array", "direction": "fill", "item_pattern": "o", "allow_breakdown": True, "size": "3- x 1"}}})
