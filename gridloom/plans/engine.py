@@ -117,6 +117,16 @@ def run(grammar: Grammar, cells: DataFrame, target: str | None = None, everythin
         return one
 
     used: dict[str, list[DataFrame]] = {}
+
+    def register(name: str, parts: list[DataFrame], areas: DataFrame, wave: int) -> None:
+        """Adds those matches of a pattern searched in context that the areas are made of, each once."""
+        named = areas.select("doc_id", F.explode("children.child").alias("match_id")).distinct()
+        for part in parts:
+            rows = part.join(named, ["doc_id", "match_id"], "left_semi").select(out._empty().columns)
+            out.own[name] = out.own[name].unionByName(rows) if name in out.own else rows
+        out.own[name] = keep(out.own[name].dropDuplicates(["doc_id", "match_id"]), name)
+        out.wave.setdefault(name, wave)
+
     for i, names in enumerate(grammar.waves()):
         if not everything and grammar.root in names:
             names = [grammar.root]
@@ -134,6 +144,9 @@ def run(grammar: Grammar, cells: DataFrame, target: str | None = None, everythin
                 rows = rows if p.allows_overlapping else settled(staged(rows, "areas") if stage else rows)
             out.own[n] = keep(out.checked(p, rows, i), n) if p.kind != "cell" else out.checked(p, rows, i)
             out.wave[n] = i
+            for name, parts in used.items():
+                register(name, parts, out.own[n], i)
+            used.clear()
         if hook:
             hook(i, list(names), out)
     return out

@@ -109,6 +109,16 @@ def test_array_in_context(spark):
     assert boxes(m.own["line"]) == [(1, 0, 3, 1), (2, 2, 2, 1)]
 
 
+def test_array_in_context_is_registered(spark):
+    """The arrays that areas are made of are matches too, each once, and lead to their cells."""
+    spec = {"h": {"kind": "cell", "content_type": "h"}, "o": {"kind": "cell", "content_type": "o"}, "run": {"kind": "array-in-context", "item_pattern": "o", "direction": "row"}, "line": {"kind": "area", "root": True, "size": "2+ x 1", "inner": {"head": {"pattern": "h", "location": "left, top, bottom"}, "rest": {"pattern": "run", "location": "right, top, bottom"}}}}
+    parser = DocumentParser(read_grammar({"cell_types": one_type("h", "o"), "patterns": spec}))
+    m = parser.parse(text_cells(docs(spark, ("a", "o\th\to\to\n\t\n\to\th\to\n")), "d", "t"))
+    assert boxes(m.lookup("run")) == [(2, 0, 2, 1), (3, 2, 1, 1)]
+    assert boxes(parser.unused(m)) == [(0, 0, 1, 1), (1, 2, 1, 1)]
+    assert reports.serialised(m.all()).where("json like '%\"pattern\":\"run\",\"box\"%'").count() == 2
+
+
 def write_xlsx(path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
