@@ -10,7 +10,7 @@ a row a piece and stepped together; pieces over WIDE bytes have a tree of their
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.store import freeing
+
 NONE = np.iinfo(np.int64).max
 WIDE = 64
-#: Pieces that a process remembers; the cache starts anew when it is full.
-CACHE = 250_000
+#: Bytes of pieces that a task remembers, with their ids; the cache starts anew when it is full. Pieces over WIDE bytes aren't kept.
+CACHE = 4 << 20
 #: Pieces of one step, so that a text of any length is held in parts.
-STEP = 65_536
+STEP = 32_768
 
 _models: dict[tuple[str, str], "SegmentTreeBpe"] = {}
 
@@ -53,7 +55,12 @@ class SegmentTreeBpe:
         self.keys = np.append(order, NONE)
         self.values = np.array([*(pairs[k] for k in order.tolist()), 0], np.int64)
         self.single = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache of pieces."""
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _rank(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
         """Leaves for the pairs (a, b) that start at ``at``; a token below 0 is the end."""
@@ -168,18 +175,21 @@ class SegmentTreeBpe:
                     out[i] = ids
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.cache) + len(pieces) > CACHE:
-            self.cache.clear()
-        todo = list(pieces)
-        self.cache.update(zip(todo, self.encode_pieces([p.encode() for p in todo])))
-
     def _ids(self, groups: list[list[str]]) -> list[bytes]:
+        """Each group's ids. Pieces are looked up in the cache, new ones encoded together."""
         every = set().union(*groups)
-        new = {p for p in every if p not in self.cache}
+        known = {p: ids for p in every if (ids := self.cache.get(p)) is not None}
+        new = [p for p in every if p not in known]
         if new:
-            self._learn(every if len(self.cache) + len(new) > CACHE else new)
-        get = self.cache.__getitem__
+            raw = [p.encode() for p in new]
+            fresh = dict(zip(new, self.encode_pieces(raw)))
+            known |= fresh
+            short = {p: fresh[p] for p, r in zip(new, raw) if len(r) <= WIDE}
+            if self.held > CACHE:
+                self.forget()
+            self.cache |= short
+            self.held += sum(map(len, short)) + sum(map(len, short.values()))
+        get = known.__getitem__
         return [b"".join(map(get, g)) for g in groups]
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -211,18 +221,31 @@ class SegmentTreeBpe:
 
 
 def model(path: str, pattern: str) -> SegmentTreeBpe:
-    """The model of a rank file, loaded once a process."""
+    """The model of a rank file; a process keeps the last one, as workers serve other stages too."""
     if (path, pattern) not in _models:
+        _models.clear()
         _models[path, pattern] = SegmentTreeBpe(path, pattern)
     return _models[path, pattern]
 
 
+def _lent(path: str, pattern: str, run: Callable[[SegmentTreeBpe, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with the model, whose cache ends with the task."""
+
+    def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = model(path, pattern)
+        try:
+            yield from run(bpe, batches)
+        finally:
+            bpe.forget()
+
+    return freeing(lent)
+
+
 def encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
     """(key, ids array<int>): every whole text encoded; null texts have no ids, null and repeated keys stay rows of their own."""
     kind = df.select(key).schema[0].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path, pattern)
+    def run(bpe: SegmentTreeBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -231,20 +254,21 @@ def encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataF
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.array([], np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat)], ["key", "ids"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_lent(path, pattern, run), f"key {kind.simpleString()}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFrame:
     """(key, bytes): what the ids stand for; null ids give null, no ids empty bytes."""
     kind = df.select(key).schema[0].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path, pattern)
+    def run(bpe: SegmentTreeBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if x.as_py() is None else bpe.decode(np.asarray(x.values, np.int64)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "bytes"])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                out = [bpe.decode(np.asarray(x.values, np.int64)) if x.is_valid else None for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["key", "bytes"])
 
-    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind.simpleString()}, bytes binary").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(_lent(path, pattern, run), f"key {kind.simpleString()}, bytes binary").withColumnRenamed("key", key)
 
 
 def round_trip_digests(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
@@ -257,9 +281,8 @@ def round_trip_digests(df: DataFrame, key: str, text: str, path: str, pattern: s
 
     kind = df.select(key).schema[0].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path, pattern)
-        names = [str(i) for i in range(len(bpe.tokens))]
+    def run(bpe: SegmentTreeBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(map(str, range(len(bpe.tokens))))
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -274,4 +297,4 @@ def round_trip_digests(df: DataFrame, key: str, text: str, path: str, pattern: s
                 )
 
     schema = f"key {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_lent(path, pattern, run), schema).withColumnRenamed("key", key)

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.blocks import chunk_pairs, dealt, local_roots, runs
+from gridloom.llm.blocks import chunk_pairs, counted_here, dealt, join_hot, leads, led, local_roots, runs
 from gridloom.llm.components import connected_components
-from gridloom.llm.store import written
+from gridloom.llm.store import freeing, written
 
 NGRAM, THRESHOLD, RECALL, HASHES, SEED = 5, 0.8, 0.9999, 80, 20240301
 BLOCK = 256
@@ -122,24 +122,16 @@ def jaccard_join(df: DataFrame, key: str, text: str, threshold: float = THRESHOL
                 cells.append(_sketch(grams, bands, rows, a, b) if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["id", "set", "bands"])
 
-    sketch = written(docs.select("id", word_hashes(F.col("text")).alias("w")).mapInArrow(sketched, "id long, set binary, bands array<bigint>"), "sketch")
+    sketch = written(docs.select("id", word_hashes(F.col("text")).alias("w")).mapInArrow(freeing(sketched), "id long, set binary, bands array<bigint>"), "sketch")
     known = sketch.where("set is not null and id is not null")
     classes = written(known.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "classes")
-
-    buckets = classes.select("set", "rep", "n", F.posexplode("bands").alias("t", "bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "set")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    led = written(buckets.join(leaders, "bucket").select("set", "rep", "n", "t", F.xxhash64("lead").alias("g")), "led")
-    sizes = led.select("g", "set").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    large = written(sizes.where(F.col("size") > BLOCK), "large")
-    placed = led.select("g", "set").distinct().join(large, "g", "left")
-    placed = placed.groupBy("set").agg(F.collect_list(F.struct("g", F.coalesce("size", F.lit(1)).alias("size"))).alias("groups"))
-    members = written(
-        led.groupBy("set", "rep", "n").agg(F.collect_list(F.struct("t", "g")).alias("gs")).join(placed, "set"), "members"
-    )
+    members = written(led(classes, "set", "bands"), "members")
     ids = members.select(F.col("rep").alias("id")).distinct()
     some = docs.join(F.broadcast(ids) if members.count() <= SENT_IDS else ids, "id", "left_semi")
     texts = some.select("id", word_hashes(F.col("text")).alias("w")).join(members, F.col("id") == F.col("rep"))
 
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.struct([("t", pa.int32()), ("g", pa.int64())])), pa.list_(pa.struct([("g", pa.int64()), ("size", pa.int64())])), pa.binary()]
+
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
@@ -149,18 +141,14 @@ def jaccard_join(df: DataFrame, key: str, text: str, threshold: float = THRESHOL
                     grams = ngram_set(w.values.to_numpy(), n)
                     if hashlib.blake2b(grams.tobytes(), digest_size=16).digest() != set_.as_py():
                         continue  # another text under the same key
-                    lead, has = np.zeros(bands, np.int64), np.zeros(bands, bool)
-                    for g in gs.as_py():
-                        lead[g["t"]], has[g["t"]] = g["g"], True
-                    rows_.append((rep.as_py(), set_.as_py(), n_.as_py(), groups.as_py(), lead.tobytes(), has.tobytes(), grams.tobytes()))
+                    rows_.append((rep.as_py(), set_.as_py(), n_.as_py(), gs.as_py(), groups.as_py(), grams.tobytes()))
                 if rows_:
-                    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.struct([("g", pa.int64()), ("size", pa.int64())])), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_), kinds)], ["rep", "set", "n", "groups", "lead", "has", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_), kinds)], ["rep", "set", "n", "gs", "groups", "grams"])
 
-    schema = "rep long, set binary, n long, groups array<struct<g:bigint,size:bigint>>, lead binary, has binary, grams binary"
-    full = texts.select("rep", "set", "n", "gs", "groups", "w").mapInArrow(gathered, schema).dropDuplicates(["set"])
+    schema = "rep long, set binary, n long, gs array<struct<t:int,g:bigint>>, groups array<struct<g:bigint,size:bigint>>, grams binary"
+    full = texts.select("rep", "set", "n", "gs", "groups", "w").mapInArrow(freeing(gathered), schema).dropDuplicates(["set"])
     dealt_rows = full.withColumn("group", F.explode("groups")).withColumn("pair", F.explode(chunk_pairs(F.col("set"), F.col("group.size"), BLOCK)))
-    dealt_rows = dealt_rows.select("group.g", "pair.a", "pair.b", "pair.own", "rep", "set", "n", "lead", "has", "grams")
+    dealt_rows = dealt_rows.select("group.g", "pair.a", "pair.b", "pair.own", "rep", "set", "n", "gs", "grams")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["g", "a", "b"]):
@@ -170,8 +158,7 @@ def jaccard_join(df: DataFrame, key: str, text: str, threshold: float = THRESHOL
             g, a_, b_ = (group.column(c)[0].as_py() for c in ("g", "a", "b"))
             own = group.column("own").to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
-            lead = np.frombuffer(b"".join(group.column("lead").to_pylist()), np.int64).reshape(len(sets), bands)
-            has = np.frombuffer(b"".join(group.column("has").to_pylist()), bool).reshape(len(sets), bands)
+            lead, has = leads(group.column("gs").combine_chunks(), bands)
             left, right = np.flatnonzero(own == a_), np.flatnonzero(own == b_)
             if not len(left) or not len(right):
                 continue
@@ -181,8 +168,7 @@ def jaccard_join(df: DataFrame, key: str, text: str, threshold: float = THRESHOL
             i, j = left[i], right[j]
             if a_ == b_:
                 i, j = i[i < j], j[i < j]
-            meet = (lead[i] == lead[j]) & has[i] & has[j]
-            here = meet.any(1) & (np.where(meet, lead[i], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == g)
+            here = counted_here(lead, has, i, j, g)
             i, j = i[here], j[here]
             if not len(i):
                 continue
@@ -194,21 +180,26 @@ def jaccard_join(df: DataFrame, key: str, text: str, threshold: float = THRESHOL
             at = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), group.column("set").combine_chunks().take(pa.array(at)), pa.array(links[at]), pa.array(root[at])], ["rep", "set", "links", "root"])
 
-    found = written(dealt(dealt_rows, ["g", "a", "b"]).mapInArrow(linked, "rep long, set binary, links long, root long"), "links")
+    found = written(dealt(dealt_rows, ["g", "a", "b"]).mapInArrow(freeing(linked), "rep long, set binary, links long, root long"), "links")
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     edges = found.select("rep", "root")
     if known.groupBy("id").agg(F.count_distinct("set").alias("sets")).where("sets > 1").limit(1).count():
         edges = edges.union(known.join(classes, "set").where("id <> rep").select("id", "rep"))
     parts = connected_components(edges, "rep", "root")
-    by_class = classes.join(links, "set", "left")
-    by_class = by_class.join(parts, by_class["rep"] == parts["node"], "left").select("set", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("id", F.when(F.col("id").isNotNull(), F.col("set")).alias("set")).join(by_class, "set", "left")
+    by_class = classes.select("set", "rep", "n").join(links, "set", "left")
+    by_class = by_class.join(parts, by_class["rep"] == parts["node"], "left").select(
+        "set", F.col("n").alias("size"), F.col("rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    )
+    by_class = written(by_class, "by_class")
+    linked_rows = join_hot(known.select("id", "set"), by_class, "set", sketch.count()).select("id", "class_id", "n_links", "component_id")
+    alone = sketch.where("set is null or id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked_rows.unionByName(alone)
     return out.select(
         F.col("id").alias(key),
-        F.coalesce("rep", "id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(False)).alias("kept"),
+        "class_id",
+        F.col("n_links").cast("bigint").alias("n_links"),
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
 
 

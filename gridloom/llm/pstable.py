@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.blocks import chunk_pairs, dealt, local_roots, runs
+from gridloom.llm.blocks import chunk_pairs, counted_here, dealt, join_hot, leads, led, local_roots, runs
 from gridloom.llm.components import connected_components
-from gridloom.llm.store import written
+from gridloom.llm.store import freeing, written
 
 BLOCK = 512
 PROJECTIONS, WIDTH, RECALL, SEED = 8, 2.0, 0.999, 20240229
@@ -41,16 +42,16 @@ def _unit(raw: list[bytes], kind: str) -> np.ndarray:
 
 
 def _cells(u: np.ndarray, tables: int, k: int, width: float, seed: int) -> np.ndarray:
-    """A 32-bit bucket for each row and table, from its quantised projections and the dimension."""
+    """A 64-bit bucket for each row and table, from its quantised projections, the table and the dimension."""
     rng = np.random.default_rng([seed, u.shape[1]])
     a = rng.standard_normal((u.shape[1], tables * k))
     b = rng.uniform(0, width, tables * k)
     q = np.floor((u @ a + b) / width).astype(np.int64).astype(np.uint64).reshape(len(u), tables, k)
-    h = np.full((len(u), tables), u.shape[1], np.uint64)
+    h = np.tile(np.arange(tables, dtype=np.uint64) << np.uint64(32) | np.uint64(u.shape[1]), (len(u), 1))
     for i in range(k):
         h = (h ^ q[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return h.view(np.int64)
 
 
 def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9, recall: float = RECALL, k: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED) -> DataFrame:
@@ -80,78 +81,79 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9, r
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "raw"])
 
     column = F.col(vector) if kind == "<f4" else F.col(vector).cast("array<double>")
-    rows = df.select(F.col(key).cast("bigint").alias("id"), column.alias("v")).mapInArrow(serialized, "id long, raw binary")
-    rows = written(rows, "vectors")
+    rows = df.select(F.col(key).cast("bigint").alias("id"), column.alias("v")).mapInArrow(freeing(serialized), "id long, raw binary")
+    rows = written(rows.withColumn("class", F.unhex(F.sha2("raw", 256))), "vectors")
     known = rows.where("raw is not null and id is not null")
-    classes = known.groupBy("raw").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(0).to_pylist()
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            sizes = pc.binary_length(batch.column("raw")).to_numpy()
             for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                part = batch.take(pa.array(at))
-                cells = _cells(_unit(part.column(0).to_pylist(), kind), tables, k, width, seed)
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                cells = _cells(_unit(part.column("raw").to_pylist(), kind), tables, k, width, seed)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([c.tobytes() for c in cells], pa.binary()), pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * tables, cells.ravel())],
-                    ["raw", "rep", "n", "cells", "buckets"],
+                    [*part.columns, pa.ListArray.from_arrays(np.arange(len(cells) + 1, dtype=np.int32) * tables, cells.ravel())],
+                    ["class", "rep", "n", "raw", "buckets"],
                 )
 
-    sketch = written(
-        classes.mapInArrow(hashed, "raw binary, rep long, n long, cells binary, buckets array<int>").withColumn("h", F.xxhash64("raw")), "cells"
-    )
-    spread = sketch.select("rep", "h", "n", "raw", "cells", F.posexplode("buckets").alias("t", "bucket"))
-    hot = written(spread.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK), "hot")
-    placed = spread.join(hot, ["t", "bucket"], "left").withColumn("pair", F.explode(chunk_pairs(F.struct("rep", "h"), F.coalesce("members", F.lit(1)), BLOCK)))
-    members = placed.select("t", "bucket", "pair.a", "pair.b", "pair.own", "rep", "h", "n", "raw", "cells")
+    classes = known.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
+    classes = written(classes.mapInArrow(freeing(hashed), "class binary, rep long, n long, raw binary, buckets array<bigint>"), "classes")
+    members = led(classes, "class", "buckets").join(classes.select("class", "raw"), "class")
+    placed = members.withColumn("group", F.explode("groups")).withColumn("pair", F.explode(chunk_pairs(F.col("class"), F.col("group.size"), BLOCK)))
+    placed = placed.select("group.g", "pair.a", "pair.b", "pair.own", "class", "rep", "n", "gs", "raw")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["t", "bucket", "a", "b"]):
-            if group.num_rows < 2:
-                continue
-            group = group.combine_chunks().sort_by("rep")
-            raw = group.column("raw").to_pylist()
-            if len({len(x) for x in raw}) > 1:
-                continue  # a bucket's hash holds the dimension, so lengths differ by chance only
-            t, a, b = (group.column(c)[0].as_py() for c in ("t", "a", "b"))
-            u = _unit(raw, kind)
-            own = group.column("own").to_numpy()
-            cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.int32).reshape(len(raw), -1)
-            left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
-            i, j = np.nonzero(u[left] @ u[right].T >= threshold)
-            i, j = left[i], right[j]
-            if a == b:
-                i, j = i[i < j], j[i < j]
-            first = (cells[i] == cells[j]).argmax(1) == t
-            i, j = i[first], j[first]
-            if not len(i):
-                continue
-            n, rep = group.column("n").to_numpy(), group.column("rep").to_numpy()
-            links = np.zeros(len(raw), np.int64)
-            np.add.at(links, i, n[j])
-            np.add.at(links, j, n[i])
-            root = rep[local_roots(len(raw), i, j)]
-            has = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (rep, group.column("h").to_numpy(), links, root)], ["rep", "h", "links", "root"])
-
-    found = written(dealt(members, ["t", "bucket", "a", "b"]).mapInArrow(linked, "rep long, h long, links long, root long"), "links")
-    links = found.groupBy("rep", "h").agg(F.sum("links").alias("links"))
-    parts = connected_components(
-        found.select("rep", "root").union(known.join(classes, "raw").where("id <> rep").select("id", "rep")) if _repeats(known) else found.select("rep", "root"), "rep", "root"
+        for group in runs(batches, ["g", "a", "b"]):
+            lengths = pc.binary_length(group.column("raw"))
+            for size in pc.unique(lengths):  # vectors of other lengths share a bucket by chance only
+                part = group.filter(pc.equal(lengths, size))
+                if part.num_rows < 2:
+                    continue
+                part = part.sort_by("rep").combine_chunks()
+                raw = part.column("raw").to_pylist()
+                g, a, b = (part.column(c)[0].as_py() for c in ("g", "a", "b"))
+                u = _unit(raw, kind)
+                own = part.column("own").to_numpy()
+                lead, has = leads(part.column("gs").combine_chunks(), tables)
+                left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+                i, j = np.nonzero(u[left] @ u[right].T >= threshold)
+                i, j = left[i], right[j]
+                if a == b:
+                    i, j = i[i < j], j[i < j]
+                here = counted_here(lead, has, i, j, g)
+                i, j = i[here], j[here]
+                if not len(i):
+                    continue
+                n, rep = part.column("n").to_numpy(), part.column("rep").to_numpy()
+                links = np.zeros(len(raw), np.int64)
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+                root = rep[local_roots(len(raw), i, j)]
+                at = pa.array(np.flatnonzero(links))
+                yield pa.RecordBatch.from_arrays([pa.array(rep).take(at), part.column("class").combine_chunks().take(at), pa.array(links).take(at), pa.array(root).take(at)], ["rep", "class", "links", "root"])
+
+    found = written(dealt(placed, ["g", "a", "b"]).mapInArrow(freeing(linked), "rep long, class binary, links long, root long"), "links")
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    edges = found.select("rep", "root")
+    if _repeats(known):
+        edges = edges.union(known.join(classes.select("class", "rep"), "class").where("id <> rep").select("id", "rep"))
+    parts = connected_components(edges, "rep", "root")
+    by_class = classes.select("class", "rep", "n").join(links, "class", "left")
+    by_class = by_class.join(parts, by_class["rep"] == parts["node"], "left").select(
+        "class", F.col("n").alias("size"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    by_class = classes.withColumn("h", F.xxhash64("raw")).join(links, ["rep", "h"], "left")
-    by_class = by_class.join(parts, by_class["rep"] == parts["node"], "left").select("raw", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    usable = F.when(F.col("id").isNotNull(), F.col("raw"))
-    out = rows.withColumn("raw", usable).join(by_class, "raw", "left")
+    by_class = written(by_class, "by_class")
+    linked_rows = join_hot(known.select("id", "class"), by_class, "class", rows.count()).select("id", "n_links", "component_id")
+    alone = rows.where("raw is null or id is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked_rows.unionByName(alone)
     return out.select(
         F.col("id").alias(key),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(False)).alias("kept"),
+        F.col("n_links").cast("bigint").alias("n_links"),
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
 
 
 def _repeats(known: DataFrame) -> bool:
     """Whether a key occurs with several vectors, which then are one node."""
-    return bool(known.groupBy("id").agg(F.count_distinct("raw").alias("n")).where("n > 1").limit(1).count())
+    return bool(known.groupBy("id").agg(F.count_distinct("class").alias("n")).where("n > 1").limit(1).count())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,9 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.store import freeing
+
 #: The model is fitted on so many trusted and unlabelled documents at most, those of lowest hash; all are scored.
 POSITIVES, UNLABELLED = 8_000, 16_000
 SEED = 20240305
+#: Characters or bytes of a text that are looked at together.
+SLICE = 1 << 20
 CLASSES = 12
 EXTRA = 8
 FEATURES = CLASSES * CLASSES + EXTRA
@@ -26,29 +31,48 @@ def _byte_classes() -> np.ndarray:
     return kinds
 
 
+BYTE_CLASSES = _byte_classes()
+BLANK, BREAK = re.compile(r"\s"), re.compile("\n")
+
+
+def _slices(text: str, border: re.Pattern, size: int = SLICE) -> Iterator[str]:
+    """Parts of a text of about ``size`` characters, cut before a border; longer where none comes."""
+    a = 0
+    while a < len(text) or not a:
+        m = border.search(text, a + size)
+        b = m.start() if m else len(text)
+        yield text[a:b]
+        a = max(b + 1, 1)
+
+
 def features(text: str | None) -> np.ndarray:
-    """Features of a whole text: how often each pair of byte classes follows one another, and of words and lines. Null is empty."""
+    """Features of a whole text: how often each pair of byte classes follows one another, and of words and lines. Null is empty.
+
+    A long text is taken in slices, so that only its different words and lines are held beside it.
+    """
     text = text or ""
     raw = text.encode()
-    kinds = _byte_classes()[np.frombuffer(raw, np.uint8)].astype(np.int64) if len(raw) < 1 << 22 else None
     pairs = np.zeros(CLASSES * CLASSES)
-    if kinds is not None:
-        pairs += np.bincount(kinds[:-1] * CLASSES + kinds[1:], minlength=CLASSES * CLASSES) if len(raw) > 1 else 0
-    else:
-        table = _byte_classes()
-        for a in range(0, len(raw) - 1, 1 << 22):
-            k = table[np.frombuffer(raw[a : a + (1 << 22) + 1], np.uint8)].astype(np.int64)
-            pairs += np.bincount(k[:-1] * CLASSES + k[1:], minlength=CLASSES * CLASSES)
-    words, lines = text.split(), text.split("\n")
-    different = set(words)
-    letters = sum(map(len, words))
+    for a in range(0, len(raw) - 1, SLICE):
+        k = BYTE_CLASSES[np.frombuffer(raw, np.uint8, min(SLICE + 1, len(raw) - a), a)].astype(np.int64)
+        pairs += np.bincount(k[:-1] * CLASSES + k[1:], minlength=CLASSES * CLASSES)
+    different, words, letters, longest = set(), 0, 0, 0
+    for part in _slices(text, BLANK):
+        some = part.split()
+        sizes = list(map(len, some))
+        different.update(some)
+        words, letters, longest = words + len(some), letters + sum(sizes), max(longest, max(sizes, default=0))
+    lines = text.count("\n") + 1
+    unlike = set()
+    for part in _slices(text, BREAK):
+        unlike.update(part.split("\n"))
     extra = (
         np.log1p(len(raw)) / 10,
-        len(different) / max(1, len(words)),
-        len(set(lines)) / len(lines),
-        letters / max(1, len(words)) / 10,
-        np.log1p(len(lines)) / 5,
-        max(map(len, words), default=0) ** 0.5 / 10,
+        len(different) / max(1, words),
+        len(unlike) / lines,
+        letters / max(1, words) / 10,
+        np.log1p(lines) / 5,
+        longest**0.5 / 10,
         sum(map(str.isupper, different)) / max(1, len(different)),
         sum(map(str.isalpha, different)) / max(1, len(different)),
     )
@@ -149,9 +173,11 @@ def fold(key: Column) -> Column:
 def _collected(df: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tolist() for t in batch.column(0)], pa.list_(pa.float32()))], ["x"])
+            for a in range(0, batch.num_rows, 512):
+                x = [features(t.as_py()) for t in batch.column(0).slice(a, 512)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * FEATURES, np.concatenate(x))], ["x"])
 
-    table = df.mapInArrow(run, "x array<float>").toArrow()
+    table = df.mapInArrow(freeing(run), "x array<float>").toArrow()
     return table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64)
 
 
@@ -171,16 +197,18 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
 def score(docs: DataFrame, text: str, model: PuModel | None, name: str = "score") -> DataFrame:
     """Adds the score of every whole text, 0 to 1; without a model 0.5. A column of that name is replaced."""
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        if model is None:
-            return texts.map(lambda _: 0.5).astype("float64")
-        out = []
-        for a in range(0, len(texts), 512):
-            out.append(model.scores(np.stack([features(t) for t in texts.iloc[a : a + 512]]).astype(np.float64)))
-        return type(texts)(np.concatenate(out) if out else [], index=texts.index, dtype="float64")
-
-    return docs.withColumn(name, scored(F.col(text)))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = [np.zeros(0)]
+            for a in range(0, len(texts), 512):
+                part = texts.slice(a, 512)
+                out.append(np.full(len(part), 0.5) if model is None else model.scores(np.stack([features(t.as_py()) for t in part]).astype(np.float64)))
+            yield pa.array(np.concatenate(out))
+
+    # The annotations tell Spark that this is an iterator's function; a closure's own would be strings.
+    scored = freeing(run)
+    scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn(name, F.arrow_udf(scored, "double")(F.col(text)))
 
 
 def classify(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, threshold: float = 0.3, **options) -> DataFrame:

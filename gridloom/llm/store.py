@@ -1,32 +1,21 @@
-"""Working folders on storage that the driver and every executor share.
-
-The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is unset, as
-in tests on one machine, a temporary folder takes its place.
-"""
+"""Working folders on storage that the driver and every executor share, and workers that give memory back."""
 
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-_made: list[str] = []
-
+from gridloom.staging import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, as a URI or a path."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = tempfile.mkdtemp(prefix="gridloom-")
-    return _own[key]
+_made: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -68,6 +57,24 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a worker that gives its free memory back when the task ends, as it serves tasks of other stages too."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError, TypeError):  # another C library
+                pass
+
+    return wrapped
+
+
 @atexit.register
 def _clean() -> None:
     for path in _made:
@@ -77,6 +84,3 @@ def _clean() -> None:
                 fs.delete_dir(p)
         except OSError:
             continue
-    for path in _own.values():
-        if os.path.isdir(path) and not os.listdir(path):
-            os.rmdir(path)

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm import bpe
+from gridloom.llm.store import freeing
+
 _encodings: dict[tuple[str, str], object] = {}
 
 #: Lengths a block of the suffix sums holds; a block is the most that one task sorts.
 BLOCK = 4096
+#: A run of white space of this length or more is encoded by the segment tree, as the library's matcher recurses over such a run.
+RUN = 16_384
+LONG_RUN = re.compile(rf"\s{{{RUN}}}")
 
 
 def rank_encoding(path: str, pattern: str):
@@ -26,20 +33,24 @@ def rank_encoding(path: str, pattern: str):
     return _encodings[path, pattern]
 
 
-def _lengths(path: str, pattern: str, ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = rank_encoding(path, pattern)
-        for batch in batches:
-            n = [len(enc.encode_ordinary(t.as_py() or "")) for t in batch.column(batch.num_columns - 1)]
-            cols = {"n_tokens": pa.array(n, pa.int64())}
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | cols if ids else cols)
-
-    return run
+def encoded_length(text: str | None, path: str, pattern: str) -> int:
+    """The number of ids of one whole text, null as empty; the same by either encoder."""
+    if not text:
+        return 0
+    if len(text) >= RUN and LONG_RUN.search(text):
+        return len(next(bpe.model(path, pattern).encode_batch([text])))
+    return len(rank_encoding(path, pattern).encode_ordinary(text))
 
 
 def encoded_lengths(df: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
-    """(n_tokens): the encoded length of every whole text; null counts as empty, length 0."""
-    return df.select(F.col(text).alias("text")).mapInArrow(_lengths(path, pattern, False), "n_tokens long")
+    """(n_tokens): the encoded length of every whole text, one row a row; null counts as empty, length 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [encoded_length(t.as_py(), path, pattern) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n_tokens"])
+
+    return df.select(F.col(text).alias("text")).mapInArrow(freeing(run), "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

@@ -20,23 +20,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import filesystem, new_path, written
+from gridloom.llm.store import filesystem, freeing, new_path, written
 
 HEAD = "<8sB7x32s"
 TAIL = "<QQI4x8s"
 MAGIC = b"GLTOKEN1"
 INDEX = np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<u8"), ("at", "<u8")])
-#: Chunks that a process remembers; before a text that finds the cache full, it starts anew.
-CACHE = 250_000
+#: Chunks that a process remembers; a slice that finds the cache full starts it anew.
+CACHE = 150_000
 #: Texts that keep their chunks as they are hold other letters, marks of special tokens, or a mark before a final point or comma.
 TRICKY = r"[^\x00-\x{12f}\x{131}-\x{24f}]|<\||[^\s\pL\pN][.,](?:\s|$)"
 #: Characters of texts that are encoded together.
-STEP = 8 << 20
+STEP = 4 << 20
 DICTIONARY_BYTES = 32_768
-#: The dictionary is trained on so many documents of lowest hash, so many characters of each; it affects sizes only.
+#: The dictionary is trained on so many documents of lowest hash, a span of so many characters of each; it affects sizes only.
 SAMPLE_DOCS, SAMPLE_CHARS = 1024, 16_384
 
-_tokenizers: dict[str, "WordTokenizer"] = {}
+_tokenizers: dict[tuple[str, bool], "WordTokenizer"] = {}
 
 
 class WordTokenizer:
@@ -45,15 +45,16 @@ class WordTokenizer:
     The tokenizer must drop white space before it splits words, so that a text's ids are those of its
     chunks joined. In texts of letters below U+0250, where lowering goes letter by letter and NFC changes
     nothing, chunks are looked up in lower case, and a point or comma that ends a word apart from it.
-    New words go to the library together, other new chunks one by one.
+    New words go to the library together, other new chunks one by one. The strings of special tokens in a
+    text become those tokens' ids, as the library has it, unless ``special_as_text``.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         vocabulary = self.library.get_vocab()
         size = max(vocabulary.values()) + 1
         self.width = 2 if size <= 1 << 16 else 4
@@ -128,26 +129,29 @@ class WordTokenizer:
         return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of a file, loaded once a process."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str, special_as_text: bool = False) -> WordTokenizer:
+    """The tokenizer of a file; a process keeps the last one."""
+    if (path, special_as_text) not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[path, special_as_text] = WordTokenizer(path, special_as_text)
+    return _tokenizers[path, special_as_text]
 
 
-def train_dictionary(df: DataFrame, key: str, text: str, path: str, end_id: int) -> bytes:
+def train_dictionary(df: DataFrame, key: str, text: str, path: str, end_id: int, special_as_text: bool = False) -> bytes:
     """A zstandard dictionary from the serialized ids of a bounded sample of documents; empty if there are too few.
 
-    Only keys are ordered to choose the sample; of its texts no more than SAMPLE_DOCS times SAMPLE_CHARS
-    characters come to the driver, whatever the table's size.
+    Only keys are ordered to choose the sample; of each of its texts one span comes to the driver, at a
+    place that the key's hash tells: no more than SAMPLE_DOCS times SAMPLE_CHARS characters in all,
+    whatever the table's size.
     """
     import zstandard
 
     k = F.col(key)
     some = df.where(k.isNotNull()).select(k.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_DOCS).distinct()
-    texts = df.select(k.alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(some), "k", "left_semi")
+    at = F.pmod(F.xxhash64(k, F.lit(2)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    texts = df.select(k.alias("k"), F.col(text).substr(at, F.lit(SAMPLE_CHARS)).alias("t")).join(F.broadcast(some), "k", "left_semi")
     rows = texts.groupBy("k").agg(F.min("t").alias("t")).orderBy("k").collect()
-    enc = tokenizer(path)
+    enc = tokenizer(path, special_as_text)
     samples = [enc.encode(r.t) + end_id.to_bytes(enc.width, "little") for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -173,17 +177,18 @@ def _encoded(enc: WordTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[
             a = b
 
 
-def write_tokens(df: DataFrame, key: str, text: str, path: str, end_id: int, folder: str | None = None, level: int = 3) -> DataFrame:
+def write_tokens(df: DataFrame, key: str, text: str, path: str, end_id: int, folder: str | None = None, level: int = 3, special_as_text: bool = False) -> DataFrame:
     """Encodes every whole text and writes shards to a shared folder; returns their manifest.
 
     Manifest: part, path, dictionary, n_docs, n_tokens, bytes, start (ids before the shard). Each
     document's ids end with ``end_id``. A null text is empty; a null key is kept and comes first; rows of
-    equal keys stay rows of their own, ordered by text. An empty table writes no shards. A task writes
-    under a name of its own and moves the file when it is whole, so a task that runs again replaces it.
+    equal keys stay rows of their own, ordered by a hash of the text, then by the text. An empty table
+    writes no shards. Special tokens' strings in texts become their ids, unless ``special_as_text``. A task
+    writes under a name of its own and moves the file when it is whole, so a task that runs again replaces it.
     """
     spark = df.sparkSession
     root = folder or new_path(spark, "tokens")
-    raw = train_dictionary(df, key, text, path, end_id)
+    raw = train_dictionary(df, key, text, path, end_id, special_as_text)
     fs, base = filesystem(root)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/dictionary") as f:
@@ -193,7 +198,7 @@ def write_tokens(df: DataFrame, key: str, text: str, path: str, end_id: int, fol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc = tokenizer(path)
+        enc = tokenizer(path, special_as_text)
         pack = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(sent.value)).compress
         end = end_id.to_bytes(enc.width, "little")
         part = TaskContext.get().partitionId()
@@ -224,9 +229,10 @@ def write_tokens(df: DataFrame, key: str, text: str, path: str, end_id: int, fol
             {"part": pa.array([part], pa.int64()), "path": [f"{root}/part-{part:06d}.tok"], "dictionary": [f"{root}/dictionary"], "n_docs": pa.array([len(index)], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "bytes": pa.array([at + len(table) + struct.calcsize(TAIL)], pa.int64())}
         )
 
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    sorted_rows = rows.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions("k", "t")
-    manifest = written(sorted_rows.mapInArrow(run, "part long, path string, dictionary string, n_docs long, n_tokens long, bytes long"), "manifest")
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
+    place = F.xxhash64("t")
+    sorted_rows = rows.repartitionByRange("k", place).sortWithinPartitions("k", place, "t")
+    manifest = written(sorted_rows.mapInArrow(freeing(run), "part long, path string, dictionary string, n_docs long, n_tokens long, bytes long"), "manifest")
     return manifest.withColumn("start", F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens"))
 
 
@@ -306,7 +312,7 @@ def read_tokens(manifest: DataFrame, digests: bool = False) -> DataFrame:
                         held, a, weight = [], b, 0
 
     shards = manifest.select("path", "dictionary", "start")
-    return shards.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, f"id long, start long, n_tokens long, {last}")
+    return shards.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(freeing(run), f"id long, start long, n_tokens long, {last}")
 
 
 def read_document(manifest: DataFrame, key: int) -> list[int] | None:
