@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.blocks import join_hot
 from gridloom.llm.store import written
 
 NGRAM, THRESHOLD = 5, 0.8
 #: Fingerprints of 64 bits in BLOCKS blocks: within RADIUS, some block differs in RADIUS // BLOCKS bits at most.
 BLOCKS, RADIUS = 8, 23
 WORD = r"[\p{L}\p{N}]+"
-#: Bits of the table of benchmark shingles that every task holds; its size doesn't depend on the benchmark.
-BITS = 1 << 20
-#: Ids that may be broadcast to leave other documents' texts out of a shuffle; beyond it the texts are shuffled.
+#: Bits of the table of benchmark shingles that every task holds: so many a shingle, within these bounds. A fuller table lets more through, never less.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
+#: Rows of ids or of the index that may be broadcast, to leave texts or windows out of a shuffle; beyond it they are shuffled.
 SENT_IDS = 2_000_000
 
 
@@ -54,13 +57,29 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _bit_table(spark: SparkSession, grams: DataFrame) -> Column:
-    """The shingles' low bits as a table of fixed size, by a scalar subquery: a first test that no benchmark shingle fails."""
-    low = F.col("h").bitwiseAND(BITS - 1)
-    ones = grams.select(F.shiftright(low, 6).cast("int").alias("i"), F.expr(f"shiftleft(1L, cast((h & {BITS - 1}) & 63 as int))").alias("bits"))
-    none = spark.range(BITS // 64, numPartitions=1).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("bigint").alias("bits"))
+def _listed(spark: SparkSession, grams: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test of a hash by a bit table of ``n`` shingles (a column h), held as a scalar subquery: no listed shingle fails it."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length()))
+    low = F.col("h").bitwiseAND(bits - 1)
+    ones = grams.select(F.shiftright(low, 6).cast("int").alias("i"), F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))").alias("bits"))
+    none = spark.range(bits // 64, numPartitions=1).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("bigint").alias("bits"))
     words_ = ones.union(none).groupBy("i").agg(F.bit_or("bits").alias("bits"))
-    return words_.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bits"))), lambda x: x["bits"])).scalar()
+    table = words_.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bits"))), lambda x: x["bits"])).scalar()
+
+    def listed(h: Column) -> Column:
+        at = h.bitwiseAND(bits - 1)
+        return F.getbit(F.element_at(table, F.shiftright(at, 6).cast("int") + 1), at.bitwiseAND(63).cast("int")) == 1
+
+    return listed
+
+
+def _digest(grams: Column) -> Column:
+    return F.unhex(F.sha2(F.array_join(grams.cast("array<string>"), " "), 256))
+
+
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows, broadcast if they are few enough."""
+    return F.broadcast(df) if n <= SENT_IDS else df
 
 
 def _variants(blocks: int, most: int) -> Column:
@@ -77,33 +96,19 @@ def _blocks(fingerprint: Column, blocks: int) -> Column:
     )
 
 
-def contaminations(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, threshold: float = THRESHOLD, n: int = NGRAM, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(key, item, similarity, start_word, n_words): each document with each item that it holds.
+def _windows(docs: DataFrame, placed: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(id, windows): the places of all item-sized windows that can have the threshold's similarity to an item.
 
-    An item is held where a window of as many words (the whole text, if that is shorter) has a weighted
-    Jaccard similarity of word n-grams of ``threshold`` or more; the row names the best window, of equal
-    ones the first in which some shared shingle has its place in the item, else the first. A similarity of
-    ``threshold`` takes a least number of shared shingles, so every window, aligned on a shingle or not, is
-    cut that holds so many shingles of items of its length; all of them, from whole texts. Windows are
-    fingerprinted, and looked up in an index of the items' fingerprints that returns all within
-    ``radius`` bits; similarity is then computed exactly. Items and texts of fewer than ``n`` words have
-    no shingles and match nothing, as do null ones. Rows without a key are left out; of rows that repeat
-    a key, each is searched. Repeated items are found alike. Empty tables give no rows.
+    A similarity of ``threshold`` takes a least number of shingles in common, so a window with fewer
+    shingles of items of its length can't have it; every other window is listed. ``placed`` has the
+    shingles h of items by the items' length n; ``docs`` has id and text.
     """
-    spark = docs.sparkSession
-    item_words = items.select(F.col(item_key).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") >= n)
-    index = written(
-        item_words.select("item", F.size("w").alias("n"), shingles(F.col("w"), n).alias("grams")).withColumn("print", simhash(F.col("grams"))), "items"
-    )
-    placed = written(index.select("n", F.posexplode("grams").alias("q", "h")).distinct(), "places")
-    table = _bit_table(spark, placed.select("h").distinct())
-
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), words(F.col(text)).alias("w"))
-    low = F.col("h").bitwiseAND(BITS - 1)
-    listed = F.getbit(F.element_at(table, F.shiftright(low, 6).cast("int") + 1), low.bitwiseAND(63).cast("int")) == 1
-    hits = rows.select("id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), n)).alias("p", "h")).where(listed)
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n")))
-    shared = hits.join(placed, "h").groupBy("id", "size", "n").agg(F.array_sort(F.collect_set("p")).alias("at"), F.collect_set(start).alias("aligned"))
+    shingled = written(placed.distinct(), "placed")
+    count = shingled.count()
+    listed = _listed(docs.sparkSession, shingled.select("h").distinct(), count)
+    rows = docs.select("id", words(F.col("text")).alias("w"))
+    hits = rows.select("id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), n)).alias("p", "h")).where(listed(F.col("h")))
+    shared = hits.join(_sent(shingled, count), "h").groupBy("id", "size", "n").agg(F.array_sort(F.collect_set("p")).alias("at"))
     # Both sides' shingles, of which threshold / (1 + threshold) must be common ones.
     held = F.least("size", "n") - (n - 1)
     least = F.greatest(F.lit(1), F.ceil((held + F.col("n") - (n - 1)) * (threshold / (1 + threshold)) - 1e-9).cast("int"))
@@ -113,34 +118,88 @@ def contaminations(docs: DataFrame, key: str, text: str, items: DataFrame, item_
     first = lambda x: F.greatest(F.lit(0), x["b"] - F.col("held") + 1)
     last = lambda x: F.least(x["a"], F.greatest(F.lit(0), F.col("size") - F.col("n")))
     fit = F.transform(F.filter(runs, lambda x: first(x) <= last(x)), lambda x: F.sequence(first(x), last(x)))
-    starts = shared.select("id", "size", "n", "aligned", F.explode(F.array_distinct(F.flatten(fit))).alias("start"))
-    windows = starts.select("id", F.struct("start", "n", "size", F.array_contains("aligned", F.col("start")).alias("aligned")).alias("x"))
-    windows = written(windows.groupBy("id").agg(F.collect_list("x").alias("windows")), "windows")
-    few = windows.count() <= SENT_IDS
+    starts = shared.select("id", "size", "n", F.explode(F.array_distinct(F.flatten(fit))).alias("start"))
+    return written(starts.groupBy("id").agg(F.collect_list(F.struct("start", "n", "size")).alias("windows")), "windows")
+
+
+def _prints(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
+    """(id, start, n, window, print, grams): each window with its fingerprint and, as ``window``, a digest of its shingles."""
     ids = windows.select("id")
-    some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    some = docs.join(_sent(ids, windows.count()), "id", "left_semi")
     # Words first: shingles refer to them at every position, so they must be a column, not an expression.
     grams = some.join(windows, "id").select("id", "windows", words(F.col("text")).alias("w")).select("id", "windows", F.size("w").alias("size"), shingles(F.col("w"), n).alias("grams"))
     # Rows that repeat a key have windows of their own lengths.
     cut = grams.select("id", F.explode(F.filter("windows", lambda x: x["size"] == F.col("size"))).alias("x"), "grams")
-    cut = cut.select("id", "x.start", "x.n", "x.aligned", F.expr(f"slice(grams, x.start + 1, x.n - {n - 1})").alias("grams"))
-    prints = written(cut.where(F.size("grams") > 0).withColumn("print", simhash(F.col("grams"))), "prints")
-
-    near = index.select("item", "n", F.col("print").alias("item_print"), F.col("grams").alias("item_grams"))
-    lookup = index.select("n", "item", "print", F.explode(_blocks(F.col("print"), blocks)).alias("b"))
-    lookup = lookup.select("n", "item", F.col("print").alias("item_print"), "b.block", F.explode(F.transform(_variants(blocks, radius // blocks), lambda m: F.col("b.value").bitwiseXOR(m))).alias("value"))
-    lookup = written(lookup.distinct(), "lookup")
-    asked = prints.select("n", "print").distinct()
-    asked = asked.select("n", "print", F.explode(_blocks(F.col("print"), blocks)).alias("b")).select("n", "print", "b.block", "b.value")
-    pairs = asked.join(lookup, ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    pairs = written(pairs.select("n", "print", "item", "item_print").distinct().join(near, ["n", "item", "item_print"]), "pairs")
-    found = prints.join(pairs, ["n", "print"]).withColumn("similarity", weighted_similarity(F.col("grams"), F.col("item_grams")))
-    best = found.where(F.col("similarity") >= threshold).groupBy("id", "item").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"), "n")).alias("best"))
-    return best.select(F.col("id").alias(key), "item", "best.similarity", (-F.col("best.s")).alias("start_word"), F.col("best.n").alias("n_words")).withColumnRenamed("item", item_key)
+    cut = cut.select("id", "x.start", "x.n", F.expr(f"slice(grams, x.start + 1, x.n - {n - 1})").alias("grams")).where(F.size("grams") > 0)
+    return written(cut.select("id", "start", "n", _digest(F.col("grams")).alias("window"), simhash(F.col("grams")).alias("print"), "grams"), "prints")
+
+
+def _near(windows: DataFrame, classes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(window, class): all pairs of one length whose fingerprints differ in ``radius`` bits at most, by the index of blocks."""
+    lookup = classes.select("n", "class", F.col("print").alias("item_print"), F.explode(_blocks(F.col("print"), blocks)).alias("b"))
+    lookup = lookup.select("n", "class", "item_print", "b.block", F.explode(F.transform(_variants(blocks, radius // blocks), lambda m: F.col("b.value").bitwiseXOR(m))).alias("value"))
+    lookup = written(lookup, "lookup")
+    asked = windows.select("window", "n", "print", F.explode(_blocks(F.col("print"), blocks)).alias("b")).select("window", "n", "print", "b.block", "b.value")
+    pairs = asked.join(_sent(lookup, lookup.count()), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    return written(pairs.select("window", "class").distinct(), "pairs")
+
+
+def _found(docs: DataFrame, items: DataFrame, threshold: float, n: int, radius: int, blocks: int) -> DataFrame:
+    """(id, item, similarity, start, n) of ``docs`` (id, text) and ``items`` (item, text), each pair's best window."""
+    spark = docs.sparkSession
+    split = items.select("item", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    # A shingle beyond the last word hashes the words there are.
+    grams = F.when(F.size("w") >= n, shingles(F.col("w"), n)).otherwise(F.array(_gram(F.col("w"), F.lit(0), n)))
+    index = written(split.select("item", F.size("w").alias("n"), grams.alias("grams")).withColumn("class", _digest(F.concat(F.array(F.col("n").cast("bigint")), F.col("grams")))), "items")
+    classes = index.groupBy("class").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    classes = written(classes.withColumn("print", simhash(F.col("grams"))), "classes")
+    long, short = classes.where(F.col("n") >= n), classes.where(F.col("n") < n)
+
+    windows = _windows(docs, long.select("n", F.explode("grams").alias("h")), threshold, n)
+    prints = _prints(docs, windows, n)
+    # Copies hold the same windows, so each is looked up and compared once.
+    unlike = prints.groupBy("window", "n").agg(F.first("print").alias("print"), F.first("grams").alias("grams"), F.count(F.lit(1)).alias("size"))
+    unlike = written(unlike, "unlike")
+    pairs = _near(unlike, long, radius, blocks)
+    both = pairs.join(unlike.select("window", "size", F.col("grams").alias("a")), "window").join(long.select("class", F.col("n").alias("item_n"), F.col("grams").alias("b")), "class")
+    similar = both.select("window", "size", "class", weighted_similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
+    held = join_hot(prints.select("id", "start", "n", "window"), written(similar, "similar"), "window", prints.count())
+    best = held.groupBy("id", "class").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("best"))
+    found = best.select("id", "class", "best.similarity", (-F.col("best.s")).alias("start"), "best.n")
+
+    for k in sorted(r.n for r in short.select("n").distinct().collect()):
+        # One shingle, the whole item: its fingerprint is the shingle's own hash, and equal ones are the item.
+        own = short.where(F.col("n") == k).select("class", F.get("grams", F.lit(0)).alias("h"))
+        count = own.count()
+        listed = _listed(spark, own.select("h"), count)
+        rows = docs.select("id", words(F.col("text")).alias("w"))
+        hits = rows.select("id", F.posexplode(shingles(F.col("w"), k)).alias("p", "h")).where(listed(F.col("h"))).groupBy("id", "h").agg(F.min("p").alias("start"))
+        equal = hits.join(_sent(own, count), "h")
+        found = found.unionByName(equal.select("id", "class", F.lit(1.0).alias("similarity"), "start", F.lit(k).alias("n")))
+    return found.join(_sent(index.select("class", "item"), index.count()), "class").drop("class")
+
+
+def contaminations(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, threshold: float = THRESHOLD, n: int = NGRAM, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(key, item, similarity, start_word, n_words): each document with each item that it holds.
+
+    An item is held where a window of as many words (the whole text, if that is shorter) has a weighted
+    Jaccard similarity of word n-grams of ``threshold`` or more; the row names the best window, of equal
+    ones the first. All windows of whole texts that can reach the threshold, by the number of the items'
+    shingles in them, are fingerprinted by SimHash and looked up in an index of the items' fingerprints
+    that returns all within ``radius`` bits; similarity is then computed exactly. An item of fewer than
+    ``n`` words is one shingle and is held where just its words stand. Null items and those without words
+    match nothing, nor do texts of fewer words than a shingle. Rows without a key are left out; of rows
+    that repeat a key, each is searched. Repeated items are found alike. Empty tables give no rows. Where
+    both tables' keys have one name, the item's column is ``item_`` and that name.
+    """
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    found = _found(rows, items.select(F.col(item_key).alias("item"), F.col(item_text).cast("string").alias("text")), threshold, n, radius, blocks)
+    named = f"item_{item_key}" if item_key.lower() == key.lower() else item_key
+    return found.select(F.col("id").alias(key), F.col("item").alias(named), "similarity", F.col("start").alias("start_word"), F.col("n").alias("n_words"))
 
 
 def decontaminated(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, **options) -> DataFrame:
     """``docs`` without those that hold an item; rows without a key stay, and all columns are as they were."""
-    gone = written(contaminations(docs, key, text, items, item_key, item_text, **options).select(F.col(key).alias("__gone")).distinct(), "gone")
-    few = gone.count() <= SENT_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["__gone"], "left_anti")
+    found = contaminations(docs, key, text, items.select(F.col(item_key).alias("__item"), F.col(item_text).alias("__text")), "__item", "__text", **options)
+    gone = written(found.select(F.col(key).alias("__gone")).distinct(), "gone")
+    return docs.join(_sent(gone, gone.count()), docs[key] == gone["__gone"], "left_anti")

@@ -114,18 +114,19 @@ FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 OP8_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
-g AS (SELECT doc_id, len(w) AS size, [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] AS g FROM w WHERE len(w) >= 5),
-ig AS (SELECT item_id, len(w) AS n, [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] AS g FROM iw WHERE len(w) >= 5),
-hit AS (SELECT doc_id, size, unnest(g) AS h, unnest(range(len(g))) AS p FROM g),
-place AS (SELECT DISTINCT n, unnest(g) AS h, unnest(range(len(g))) AS q FROM ig),
-win AS (SELECT DISTINCT doc_id, greatest(0, least(p - q, size - n)) AS start, n FROM hit JOIN place USING (h)),
-wg AS (SELECT doc_id, start, n, len(x) AS size, unnest(x) AS h FROM (SELECT doc_id, start, n, g[start + 1 : start + n - 4] AS x FROM win JOIN g USING (doc_id))),
-wc AS (SELECT doc_id, start, n, size, h, count(*) AS c FROM wg GROUP BY ALL),
-ic AS (SELECT item_id, n, size, h, count(*) AS c FROM (SELECT item_id, n, len(g) AS size, unnest(g) AS h FROM ig) GROUP BY ALL),
+k AS (SELECT DISTINCT least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
+g AS (SELECT doc_id, k, len(w) AS size, [array_to_string(w[i:i+k-1], ' ') FOR i IN range(1, len(w) - k + 2)] AS g FROM w, k WHERE len(w) >= k),
+ig AS (SELECT item_id, k, len(w) AS n, [array_to_string(w[i:i+k-1], ' ') FOR i IN range(1, len(w) - k + 2)] AS g FROM iw, k WHERE k = least(5, len(w))),
+hit AS (SELECT doc_id, k, size, unnest(g) AS h, unnest(range(len(g))) AS p FROM g),
+near AS (SELECT DISTINCT doc_id, k, size, item_id, n, p FROM hit JOIN (SELECT DISTINCT item_id, k, n, unnest(g) AS h FROM ig) USING (k, h)),
+win AS (SELECT DISTINCT doc_id, item_id, k, n, unnest(range(greatest(0, p - least(n, size) + k), least(p, greatest(0, size - n)) + 1)) AS start FROM near),
+wg AS (SELECT doc_id, item_id, start, n, len(x) AS size, unnest(x) AS h FROM (SELECT doc_id, item_id, start, n, g[start + 1 : start + n - k + 1] AS x FROM win JOIN g USING (doc_id, k))),
+wc AS (SELECT doc_id, item_id, start, n, size, h, count(*) AS c FROM wg GROUP BY ALL),
+ic AS (SELECT item_id, size, h, count(*) AS c FROM (SELECT item_id, len(g) AS size, unnest(g) AS h FROM ig) GROUP BY ALL),
 sim AS (SELECT doc_id, start, n, item_id, sum(least(wc.c, ic.c)) / (wc.size + ic.size - sum(least(wc.c, ic.c))) AS similarity
-        FROM wc JOIN ic USING (n, h) GROUP BY doc_id, start, n, item_id, wc.size, ic.size)
+        FROM wc JOIN ic USING (item_id, h) GROUP BY doc_id, start, n, item_id, wc.size, ic.size)
 SELECT doc_id, item_id, similarity, start AS start_word, n AS n_words FROM sim WHERE similarity >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, n DESC) = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import filesystem, new_path, written
+from gridloom.llm.store import filesystem, freeing, new_path, written
 
 #: Payloads below this many bytes are stored again rather than referred to.
 LEAST_REVISIT = 1000
@@ -29,7 +29,9 @@ RANGE = 16 << 20
 READ = 1 << 20
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+#: The most a header may take.
+HEADER = 16 << 20
+RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string, refers_to_id string"
 
 
 def revisit_targets(pages: DataFrame, key: str, payload: str, least: int = LEAST_REVISIT) -> DataFrame:
@@ -105,7 +107,7 @@ def write_warc(pages: DataFrame, key: str, url: str, payload: str, folder: str |
         fs.move(own, f"{base}/part-{part:06d}.{end}")
         yield pa.RecordBatch.from_pydict({"path": [f"{root}/part-{part:06d}.{end}"], "bytes": pa.array([total], pa.int64()), "n_records": pa.array([n], pa.int64())})
 
-    return written(todo.mapInArrow(run, "path string, bytes long, n_records long"), "manifest")
+    return written(todo.mapInArrow(freeing(run), "path string, bytes long, n_records long"), "manifest")
 
 
 class _Reader:
@@ -133,7 +135,7 @@ class _Reader:
             stop = head.find(b"\r\n\r\n")
             if stop >= 0:
                 break
-            if at + n >= self.size or n > 1 << 24:
+            if at + n >= self.size or n > HEADER:
                 return None
             n *= 4
         m = re.search(rb"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n|$)", head[:stop])
@@ -167,15 +169,16 @@ class _Reader:
 
 def _candidates(reader: _Reader, a: int, b: int, packed: bool) -> Iterator[tuple[int, int]]:
     magic = GZIP if packed else VERSION[:5]
-    at = a
+    at, b = a, min(b, reader.size)  # a manifest may tell of more than there is
     while at < b:
-        span = reader.file.read_at(min(b - at + len(magic) - 1, READ, reader.size - at), at)
+        # A magic string that begins in the span may end behind it.
+        span = reader.file.read_at(min(READ, b - at) + len(magic) - 1, at)
         i = span.find(magic)
         while i >= 0:
             if at + i < b and (found := (reader.packed if packed else reader.plain)(at + i, False)):
                 yield at + i, found[1]
             i = span.find(magic, i + 1)
-        at += max(1, len(span) - len(magic) + 1) if at + len(span) < reader.size else len(span)
+        at += min(READ, b - at)
 
 
 def _ranges(manifest: DataFrame, size: int) -> DataFrame:
@@ -191,7 +194,7 @@ def boundary_candidates(manifest: DataFrame, size: int = RANGE) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 reader = _Reader(r["path"])
-                found = list(_candidates(reader, r["a"], r["b"], r["path"].endswith(".gz")))
+                found = list(_candidates(reader, r["a"], r["b"], r["path"].endswith(".gz"))) if r["a"] < reader.size else []
                 if not found:
                     continue
                 at, succ = np.array(found, np.int64).T
@@ -203,11 +206,11 @@ def boundary_candidates(manifest: DataFrame, size: int = RANGE) -> DataFrame:
                     jump = further
                 yield pa.RecordBatch.from_pydict({"path": [r["path"]] * len(at), "a": pa.array([r["a"]] * len(at), pa.int64()), "at": at, "leave": succ[jump]})
 
-    return _ranges(manifest, size).mapInArrow(run, "path string, a long, at long, leave long")
+    return _ranges(manifest, size).mapInArrow(freeing(run), "path string, a long, at long, leave long")
 
 
-def chain_entries(manifest: DataFrame, size: int = RANGE) -> DataFrame:
-    """(path, a, at): where the chain from each file's start enters each range; ranges it skips have no row."""
+def _followed(manifest: DataFrame, size: int) -> DataFrame:
+    """(path, a, at, leave): the candidates at which the chain from each file's start enters a range, and where it leaves that."""
     found = written(boundary_candidates(manifest, size), "candidates")
     reached = found.where("at = 0").select("path", "at")
     widest = manifest.agg(F.max("bytes")).first()[0] or 0
@@ -215,7 +218,35 @@ def chain_entries(manifest: DataFrame, size: int = RANGE) -> DataFrame:
     for _ in range(max(0, -(-widest // size) - 1).bit_length()):
         reached = written(reached.union(reached.join(jump, ["path", "at"]).select("path", F.col("to").alias("at"))).distinct(), "reached")
         jump = written(jump.alias("x").join(jump.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.to") == F.col("y.at"))).select("x.path", "x.at", "y.to"), "jump")
-    return found.join(reached, ["path", "at"]).select("path", "a", "at")
+    return found.join(reached, ["path", "at"]).select("path", "a", "at", "leave")
+
+
+def chain_entries(manifest: DataFrame, size: int = RANGE) -> DataFrame:
+    """(path, a, at): where the chain from each file's start enters each range; ranges it skips have no row."""
+    return _followed(manifest, size).select("path", "a", "at")
+
+
+def _broken(entries: DataFrame, manifest: DataFrame) -> DataFrame:
+    ends = entries.groupBy("path").agg(F.max("leave").alias("offset"))
+    stops = manifest.select("path", "bytes").join(ends, "path", "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
+    return stops.where("offset <> bytes").select("path", "offset", "bytes")
+
+
+def broken_chains(manifest: DataFrame, size: int = RANGE) -> DataFrame:
+    """(path, offset, bytes): files whose chain of records ends before the file does, and where: a truncated or damaged record."""
+    return _broken(_followed(manifest, size), manifest)
+
+
+def _sha1(stated: str) -> str | None:
+    """The hexadecimal SHA-1 of a digest field in base 32 or 16; None for other algorithms."""
+    name, _, value = stated.partition(":")
+    if name.lower() != "sha1":
+        return None
+    try:
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
 
 
 def _parsed(raw: bytes) -> tuple:
@@ -227,31 +258,40 @@ def _parsed(raw: bytes) -> tuple:
     block = block[: int(fields[b"content-length"])]
 
     def key(name: bytes) -> int | None:
-        m = re.search(r"page:(-?\d+)>", fields.get(name, ""))
+        m = re.search(r"gridloom:page:(-?\d+)>", fields.get(name, ""))
         return int(m[1]) if m else None
 
     kind = fields.get(b"warc-type")
-    payload = block.partition(b"\r\n\r\n")[2]
-    digest = fields.get(b"warc-payload-digest", "").removeprefix("sha1:")
-    digest = base64.b32decode(digest).hex() if digest else None
-    if kind == "response":
-        own = hashlib.sha1(payload).hexdigest()
-        if digest not in (None, own):
-            raise ValueError(f"the payload of {fields.get(b'warc-record-id')} doesn't match its digest")
-        return key(b"warc-record-id"), fields.get(b"warc-target-uri"), kind, None, len(payload), own, payload
-    return key(b"warc-record-id"), fields.get(b"warc-target-uri"), kind, key(b"warc-refers-to"), int(fields.get(b"x-payload-length", 0)), digest, None
-
-
-def read_warc(manifest: DataFrame, payloads: bool = True, size: int = RANGE) -> DataFrame:
+    ids = fields.get(b"warc-record-id"), fields.get(b"warc-refers-to")
+    url, digest = fields.get(b"warc-target-uri"), _sha1(fields.get(b"warc-payload-digest", ""))
+    if kind == "revisit":
+        length = fields.get(b"x-payload-length", "")
+        return key(b"warc-record-id"), url, kind, key(b"warc-refers-to"), int(length) if length.isdigit() else None, digest, None, *ids
+    # Of an HTTP message the payload is its body; of other records the block.
+    http = kind == "response" and fields.get(b"content-type", "").replace(" ", "").startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    own = hashlib.sha1(payload).hexdigest()
+    if digest not in (None, own):
+        raise ValueError(f"the payload of {ids[0]} doesn't match its digest")
+    return key(b"warc-record-id"), url, kind, None, len(payload), own, payload, *ids
+
+
+def read_warc(manifest: DataFrame, payloads: bool = True, size: int = RANGE, damaged: bool = False) -> DataFrame:
     """Every record that the chain from its file's start reaches, in columns RECORD.
 
-    A response's length and digest are taken from its payload, and a payload that doesn't match its
-    digest raises; a revisit's are those its header states. Without ``payloads`` that column is null.
-    ``manifest`` needs path and bytes; files ending in .gz hold a gzip member a record. No files, no rows.
+    A chain that ends before its file does (a truncated or damaged record, or a header over HEADER bytes)
+    raises, with the file and offset; with ``damaged`` the records before that are read, and
+    ``broken_chains`` lists the rest. Length and digest are taken from the payload, and a payload that
+    doesn't match its SHA-1 raises; a revisit's are those its header states, null where it states none.
+    page_id and refers_to are known for records that ``write_warc`` wrote; record_id and refers_to_id are
+    the header's own. Without ``payloads`` that column is null. ``manifest`` needs path and bytes; files
+    ending in .gz hold a gzip member a record. No files, no rows.
     """
-    entries = chain_entries(manifest, size)
+    entries = written(_followed(manifest, size), "entries")
+    if not damaged and (bad := _broken(entries, manifest).orderBy("path").limit(5).collect()):
+        raise ValueError("records break off: " + "; ".join(f"{r.path} at {r.offset} of {r.bytes}" for r in bad))
     names = [c.split()[0] for c in RECORD.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +301,7 @@ def read_warc(manifest: DataFrame, payloads: bool = True, size: int = RANGE) ->
                 rows, weight = [], 0
                 while at < min(end, reader.size) and (found := take(at, True)):
                     row = _parsed(found[0])
-                    rows.append(row if payloads else (*row[:-1], None))
+                    rows.append(row if payloads else (*row[:6], None, *row[7:]))
                     weight += len(found[0])
                     at = found[1]
                     if weight > 4 << 20:
@@ -271,4 +311,4 @@ def read_warc(manifest: DataFrame, payloads: bool = True, size: int = RANGE) ->
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return entries.repartition(parts).mapInArrow(run, RECORD)
+    return entries.select("path", "a", "at").repartition(parts).mapInArrow(freeing(run), RECORD)

@@ -42,6 +42,44 @@ def test_warc(spark, compress):
     assert warc.read_warc(warc.write_warc(df.limit(0), "page_id", "url", "html")).count() == 0
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_chain_that_breaks(spark, compress):
+    """A damaged or cut record is an error with its place, or the end of what is read."""
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_warc(df, "page_id", "url", "html", compress=compress)
+    fs, p = filesystem(manifest.first().path)
+    raw = fs.open_input_file(p).read()
+    starts = [r["at"] for r in warc.boundary_candidates(manifest).sort("at").collect()]
+    for damage, offset in ((raw[: starts[10]] + b"XXXX" + raw[starts[10] + 4 :], starts[10]), (raw[:-30], starts[19])):
+        with fs.open_output_stream(p, compression=None) as f:
+            f.write(damage)
+        now = spark.createDataFrame([(manifest.first().path, len(damage))], "path string, bytes long")
+        assert [(r.offset, r.bytes) for r in warc.broken_chains(now).collect()] == [(offset, len(damage))]
+        with pytest.raises(ValueError, match=f"at {offset} of"):
+            warc.read_warc(now, size=700).collect()
+        assert warc.read_warc(now, damaged=True).count() == starts.index(offset)
+    assert warc.broken_chains(manifest.limit(0)).count() == 0
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Records with ids, digests and kinds that this writer doesn't use."""
+    body = b"hello"
+    sha = hashlib.sha1(body).hexdigest()
+    blocks = [
+        (b"warcinfo", b"<urn:uuid:1>", b"application/warc-fields", b"software: x\r\n", b""),
+        (b"response", b"<urn:uuid:2>", b"application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body, b"WARC-Payload-Digest: sha1:" + sha.encode() + b"\r\n"),
+        (b"resource", b"<urn:uuid:3>", b"text/plain", body, b"WARC-Payload-Digest: sha256:00\r\n"),
+        (b"revisit", b"<urn:uuid:4>", b"application/http", b"HTTP/1.1 304 Not\r\n\r\n", b"WARC-Refers-To: <urn:uuid:2>\r\n"),
+    ]
+    raw = b"".join(b"WARC/1.0\r\nWARC-Type: " + k + b"\r\nWARC-Record-ID: " + i + b"\r\nContent-Type: " + c + b"\r\n" + more + b"content-length: " + str(len(b)).encode() + b"\r\n\r\n" + b + b"\r\n\r\n" for k, i, c, b, more in blocks)
+    (tmp_path / "x.warc").write_bytes(raw)
+    manifest = spark.createDataFrame([(str(tmp_path / "x.warc"), len(raw))], "path string, bytes long")
+    got = {r.record_id: r for r in warc.read_warc(manifest).collect()}
+    assert [got[f"<urn:uuid:{i}>"].payload for i in (1, 2, 3, 4)] == [b"software: x\r\n", body, body, None]
+    assert got["<urn:uuid:2>"].payload_digest == sha and got["<urn:uuid:4>"].refers_to_id == "<urn:uuid:2>" and got["<urn:uuid:4>"].payload_bytes is None
+    assert all(r.page_id is None for r in got.values())
+
+
 def test_warc_rejects_a_changed_payload(spark):
     df = spark.createDataFrame([(1, "u", "hello world")], "page_id long, url string, html string")
     manifest = warc.write_warc(df, "page_id", "url", "html", compress=False)

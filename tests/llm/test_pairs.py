@@ -132,7 +132,8 @@ def bag(w, n=5):
 def test_contaminations(spark):
     """Every window of an item's size at every place, by brute force."""
     rng = random.Random(11)
-    items = [(i, " ".join(rng.choices(VOCAB, k=rng.randint(16, 40)))) for i in range(12)] + [(50, "too short"), (51, None), (52, "the " * 20)]
+    items = [(i, " ".join(rng.choices(VOCAB, k=rng.randint(16, 40)))) for i in range(12)] + [(50, "w7 W8"), (51, None), (52, "the " * 20), (53, "w1 w2 w3 w4"), (54, " "), (55, "w9")]
+    items.append((56, items[3][1]))
     docs = []
     for i in range(60):
         w = rng.choices(VOCAB, k=rng.randint(0, 120))
@@ -145,25 +146,31 @@ def test_contaminations(spark):
             at = rng.randint(0, len(w))
             w = w[:at] + [x.upper() + "," for x in p] + w[at:]
         docs.append((i, " ".join(w)))
-    docs += [(100, None), (101, ""), (102, items[3][1]), (103, items[3][1].rsplit(" ", 2)[0]), (104, "the " * 300), (None, items[0][1]), (102, items[4][1])]
+    docs += [(100, None), (101, ""), (102, items[3][1]), (103, items[3][1].rsplit(" ", 2)[0]), (104, "the " * 300), (105, "a W7, w8; b w7 w8"), (None, items[0][1]), (102, items[4][1])]
     want = {}
     for d, t in docs:
         w = re.findall(r"[^\W_]+", (t or "").lower())
         for k, x in items:
             iw = re.findall(r"[^\W_]+", (x or "").lower())
-            if d is None or len(iw) < 5:
+            if d is None or not iw:
                 continue
-            b = bag(iw)
+            size = min(5, len(iw))
+            b = bag(iw, size)
             for s in range(max(1, len(w) - len(iw) + 1)):
-                a = bag(w[s : s + len(iw)])
+                a = bag(w[s : s + len(iw)], size)
                 low = sum((a & b).values())
                 sim = low / max(1, sum(a.values()) + sum(b.values()) - low)
                 if sim >= 0.8:
-                    want[d, k] = max(want.get((d, k), 0), sim)
+                    want[d, k] = max(want.get((d, k), (0, 0)), (sim, -s))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("text", "body")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminations(df, "doc_id", "body", bench, "item_id", "text").collect()}
-    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and (102, 4) in got
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.start_word) for r in decontaminate.contaminations(df, "doc_id", "body", bench, "item_id", "text").collect()}
+    assert {k for k in got if k[1] < 50} == {k for k in want if k[1] < 50} and (102, 4) in got and (103, 3) in got
+    assert set(got) == set(want) and {k[1] for k in want} >= {50, 55, 56}
+    # Rows that repeat a key have one best window; its place is one of theirs.
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+    same = decontaminate.contaminations(df, "doc_id", "body", bench.withColumnRenamed("item_id", "doc_id"), "doc_id", "text")
+    assert same.columns == ["doc_id", "item_doc_id", "similarity", "start_word", "n_words"] and same.count() == len(want)
     clean = decontaminate.decontaminated(df, "doc_id", "body", bench, "item_id", "text")
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in clean.collect()) == sorted(-1 if d is None else d for d, _ in docs if (d not in {x for x, _ in want}))
     assert decontaminate.contaminations(df.limit(0), "doc_id", "body", bench, "item_id", "text").count() == 0

@@ -24,9 +24,10 @@ def docs(spark, rows=None):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string")
 
 
-def word_ids(t):
+def word_ids(t, special_as_text=False):
     tk = Tokenizer.from_file(WORDS)
-    tk.encode_special_tokens = True
+    if special_as_text:
+        tk.encode_special_tokens = True
     return tk.encode(t or "", add_special_tokens=False).ids
 
 
@@ -34,18 +35,30 @@ def test_token_store(spark):
     rows = [(i * 3 % 1009, t, "c") for i, t in enumerate(TEXTS)] + [(0, "twice", "c"), (None, "no key", "c")]
     manifest = token_store.write_tokens(docs(spark, rows), "doc_id", "text", WORDS, 1)
     got = sorted(token_store.read_tokens(manifest).collect(), key=lambda r: r.start)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
     assert [r.id for r in got] == [r[0] for r in order]
-    for r, want in zip(got, order):
-        ids = word_ids(want[1]) + [1]
-        assert (r.start, r.n_tokens, r.ids) == (start, len(ids), ids)
-        start += len(ids)
+    left = [(r[0], tuple(word_ids(r[1]) + [1])) for r in order]
+    for r in got:
+        left.remove((r.id, tuple(r.ids)))  # rows of equal keys in any order
+        assert (r.start, r.n_tokens) == (start, len(r.ids))
+        start += r.n_tokens
+    assert not left
     crc = {r.start: r.ids_crc32 for r in token_store.read_tokens(manifest, digests=True).collect()}
     assert crc == {r.start: zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got}
     assert token_store.read_document(manifest, 9) == word_ids(TEXTS[3]) + [1] and token_store.read_document(manifest, -5) is None
 
 
+def test_special_tokens_of_texts(spark):
+    """As the library does it by default, or as plain text."""
+    texts = ["<|endoftext|>", "a<|startoftext|>b <|endoftext|>", "<|ENDOFTEXT|>", "x <| y", "<|endoftext|><|endoftext|>.", "İ <|endoftext|>", "<|endoftext| >"]
+    df = docs(spark, [(i, t, "c") for i, t in enumerate(texts)])
+    for plain in (False, True):
+        got = {r.id: r.ids for r in token_store.read_tokens(token_store.write_tokens(df, "doc_id", "text", WORDS, 1, special_as_text=plain)).collect()}
+        assert got == {i: word_ids(t, plain) + [1] for i, t in enumerate(texts)}
+    assert word_ids(texts[0]) == [49407]
+
+
 def test_token_store_guards(spark, tmp_path):
     assert token_store.read_tokens(token_store.write_tokens(docs(spark, []), "doc_id", "text", WORDS, 1)).count() == 0
     manifest = token_store.write_tokens(docs(spark, [(1, "a b", "c")]), "doc_id", "text", WORDS, 1)
@@ -95,6 +108,29 @@ def test_token_counts(spark):
     assert none.count() == 0 and token_counts.truncated_total(none, 5).first().tokens == 0
 
 
+def test_long_blank_runs_are_counted(spark):
+    """A run that is too long for the library's matcher; shorter ones agree with it."""
+    enc = token_counts.rank_encoding(RANKS, P.PATTERN)
+    texts = ["a" + " " * 20_000 + "b", "\n" * 30_000, " \t" * 9_000 + "end"]
+    assert [token_counts.encoded_length(t, RANKS, P.PATTERN) for t in texts] == [len(enc.encode_ordinary(t)) for t in texts]
+    huge = docs(spark, [(1, " " * 2_000_000, "c"), (2, "x" + " " * 2_000_000 + "y", "c")])
+    n = sorted(r.n_tokens for r in token_counts.encoded_lengths(huge, "text", RANKS, P.PATTERN).collect())
+    model = bpe.model(RANKS, P.PATTERN)
+    assert n == sorted(len(next(model.encode_batch([t]))) for t in (" " * 2_000_000, "x" + " " * 2_000_000 + "y"))
+
+
+def test_cache_has_a_bound(monkeypatch):
+    enc = token_counts.rank_encoding(RANKS, P.PATTERN)
+    monkeypatch.setattr(bpe, "CACHE", 2000)
+    model = bpe.SegmentTreeBpe(RANKS, P.PATTERN)
+    for k in range(30):
+        text = " ".join(f"word{k}x{i}" for i in range(200))
+        assert next(model.encode_batch([text])).tolist() == enc.encode_ordinary(text)
+        assert model.held < 2000 + 10_000
+    model.forget()
+    assert not model.cache and not model.held
+
+
 def test_lookup_table():
     """Against turns taken with explicit preference lists."""
     names = [f"s{i}" for i in range(7)]
