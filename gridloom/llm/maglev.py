@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Slots of the production table: a prime, over 100 for each of up to 600 shards.
 SLOTS = 65537
+#: Rows of a shard that one task writes to one file.
+FILE_ROWS = 250_000
 
 
 def _is_prime(n: int) -> bool:
@@ -66,8 +68,14 @@ def assign_shards(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS
     return out.drop(*[c for c in ("slot", "shard") if c in out.columns and c == key]).withColumnsRenamed({"__slot": "slot", "__shard": "shard"})
 
 
-def write_shards(df: DataFrame, key: str, shards: list[str], path: str, salts: int = 8, slots: int = SLOTS) -> None:
-    """Writes rows to ``path``/shard=.../; a shard's rows are dealt to ``salts`` tasks, so a hot one splits."""
+def write_shards(df: DataFrame, key: str, shards: list[str], path: str, rows: int = FILE_ROWS, slots: int = SLOTS) -> None:
+    """Writes all rows, with their slot, to ``path``/shard=.../, each shard in files of about ``rows`` rows, a task a file.
+
+    A first pass over the keys counts each shard's rows, so that a hot one is dealt to as many tasks as it
+    needs, equal rows too. Shards without rows have no folder; an empty table writes no shards.
+    """
     placed = assign_shards(df, key, shards, slots)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not dict(df.dtypes)[c].startswith("map")]), F.lit(salts))
-    placed.withColumn("__salt", salt).repartition("shard", "__salt").drop("__salt").write.partitionBy("shard").parquet(path)
+    files = assign_shards(df.select(key), key, shards, slots).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / rows).alias("__files")).withColumnRenamed("shard", "__shard")
+    dealt = placed.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(files), F.col("shard") == F.col("__shard"))
+    salted = dealt.withColumn("__salt", F.pmod(F.col("__row"), F.col("__files")))
+    salted.repartition("shard", "__salt").drop("__row", "__files", "__shard", "__salt").write.partitionBy("shard").parquet(path)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontaminate, maglev, ngram_join, pstable, pu_quality, secret_scan, token_counts, token_store, warc
-from gridloom.llm.store import written
+from gridloom.llm.store import new_path, written
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,7 +66,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return maglev.assign_shards(docs.select("doc_id", "source", "n_chars"), "doc_id", SHARDS)
+    path = new_path(spark, "shards")
+    maglev.write_shards(docs, "doc_id", SHARDS, path)
+    rows = spark.read.parquet(path)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), "slot", F.col("shard").cast("string").alias("shard"))
+
+
+def _op10_sql() -> str:
+    table = ",".join(map(str, maglev.lookup_table(SHARDS)))
+    return f"""
+WITH slots AS (SELECT unnest(range({maglev.SLOTS})) AS slot, unnest([{table}]) AS place),
+d AS (SELECT *, coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {maglev.SLOTS}, 0) AS slot FROM documents)
+SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, slot, 'shard-' || lpad(CAST(place AS VARCHAR), 3, '0') AS shard FROM d JOIN slots USING (slot)
+"""
 
 
 REACH = """
@@ -147,4 +160,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_near_dup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_warc": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op4_embedding_near_dup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_warc": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_sharding": _op10_sql()}

@@ -37,6 +37,8 @@ SAFE_PATH = r"(?i)(?:test|example|sample|fixture|mock|doc|spec|readme)"
 FEATURES = ["length", "transitions", "classes", "digits", "upper", "coverage", "distinct", "hex", "ruled", "path_safe", "path_depth", "before_telling", "before_placeholder", "after_placeholder"]
 TREES, DEPTH, LABELLED, SEED = 40, 8, 6000, 20240307
 MARK = "[SECRET]"
+#: Words whose lengths are summed beforehand, so that a finding's place takes a sum over blocks and one block's words.
+BLOCK = 256
 #: Documents whose secrets may be broadcast, of so many characters together; beyond either, texts are shuffled to them.
 SENT_DOCS, SENT_CHARS = 500_000, 50_000_000
 
@@ -137,8 +139,9 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
 
     A word, which is what white space bounds, gives every match of every rule, but for those that a match
     of an earlier rule covers, and the value that a telling name is set to in another word, with a sign
-    between them or at either's side; a name and a sign that are words of their own both are its neighbour. ``start`` is the candidate's first character, counted from 1. Private key blocks may
-    span words.
+    between them or at either's side; a name and a sign that are words of their own both are its
+    neighbour. ``start`` is the candidate's first character, counted from 1. Private key blocks may span
+    words; each is listed where it stands, equal ones too.
     """
     places = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"))
     w = F.col("w")
@@ -147,6 +150,17 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
     runs = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
     split = places.select("id", "path", runs(r"\S+").alias("w"), runs(r"\s+").alias("blanks"), F.col("text").rlike(r"^\s").cast("int").alias("lead"))
 
+    def sums(of: str) -> Column:
+        """The characters in each block of an array's strings."""
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(of) / BLOCK).cast("int")), lambda b: F.length(F.array_join(F.slice(of, b * BLOCK + 1, F.lit(BLOCK)), "")))
+
+    def upto(of: str, n: Column) -> Column:
+        """The characters in the first ``n`` strings of an array."""
+        whole = F.floor(n / BLOCK).cast("int")
+        return F.aggregate(F.slice(f"{of}_sums", F.lit(1), whole), F.lit(0), lambda x, y: x + y) + F.length(F.array_join(F.slice(of, whole * BLOCK + 1, n - whole * BLOCK), ""))
+
+    split = split.where(F.size("w") > 0).select("*", sums("w").alias("w_sums"), sums("blanks").alias("blanks_sums"))
+
     def signed(i: Column) -> Column:
         return F.coalesce(F.get(w, i - 1).isin(*SIGNS), F.lit(False)) & (i >= 2)
 
@@ -164,7 +178,7 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
         return (i >= 1) & F.coalesce(F.substring(F.get(w, i), 1, 1).isin("=", ":") & F.get(w, i).rlike(LED_VALUE) & F.get(w, i - 1).rlike(TELLING + r"[^\s=:,;]*$"), F.lit(False))
 
     at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: ((F.length(F.get(w, i)) >= 8) & F.get(w, i).rlike(some)) | told(i) | named(i) | led(i))
-    hits = split.where(F.size("w") > 0).select(
+    hits = split.select(
         "id",
         "path",
         F.explode(
@@ -176,15 +190,15 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
                     (told(i) | named(i)).alias("told"),
                     led(i).alias("led"),
                     F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"),
-                    (F.length(F.array_join(F.slice(w, F.lit(1), i), "")) + F.length(F.array_join(F.slice("blanks", F.lit(1), i + F.col("lead")), ""))).alias("offset"),
+                    (upto("w", i) + upto("blanks", i + F.col("lead"))).alias("offset"),
                 ),
             )
         ).alias("hit"),
     ).select("id", "path", "hit.*")
 
-    def spans(order: int, kind: str, rule: str, where: Column) -> Column:
+    def spans(order: int, kind: str, rule: str, where: Column, of: str = "word") -> Column:
         """All matches of a rule in a word; what splits by the rule leaves tells exactly where each ends, and each candidate ends its match."""
-        gaps, whole, value = F.split("word", rule, -1), F.regexp_extract_all("word", F.lit(rule), F.lit(0)), F.regexp_extract_all("word", F.lit(rule), F.lit(1))
+        gaps, whole, value = F.split(of, rule, -1), F.regexp_extract_all(of, F.lit(rule), F.lit(0)), F.regexp_extract_all(of, F.lit(rule), F.lit(1))
         steps = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.length(g) + F.length(m)), value, lambda n, v: F.struct(n.alias("n"), v.alias("candidate")))
         # The last gap has no match.
         steps = F.filter(steps, lambda x: x["candidate"].isNotNull())
@@ -208,8 +222,8 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
     words = every.select("id", "offset", "before", "after", "path", F.explode(own).alias("found")).select(
         "id", "found.kind", "found.candidate", (F.col("offset") + F.col("found.from") + 1).cast("long").alias("start"), "before", "after", "path"
     )
-    blocks = places.where(F.col("text").contains("PRIVATE KEY-----")).select("id", "path", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PEM), F.lit(0)))).alias("candidate"))
-    blocks = blocks.select("id", F.lit("private_key").alias("kind"), "candidate", F.expr("locate(candidate, text)").cast("long").alias("start"), F.lit("").alias("before"), F.lit("").alias("after"), "path")
+    blocks = places.where(F.col("text").contains("PRIVATE KEY-----")).select("id", "path", F.explode(spans(0, "private_key", f"({PEM})", F.lit(True), "text")).alias("found"))
+    blocks = blocks.select("id", "found.kind", "found.candidate", (F.col("found.from") + 1).cast("long").alias("start"), F.lit("").alias("before"), F.lit("").alias("after"), "path")
     return words.unionByName(blocks)
 
 

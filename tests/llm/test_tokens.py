@@ -166,5 +166,10 @@ def test_assign_shards(spark, tmp_path):
         slot = 0 if r.doc_id is None else int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % maglev.SLOTS
         assert (r.slot, r.shard) == (slot, names[table[slot]])
     assert len(got) == 4 and maglev.assign_shards(df.limit(0), "doc_id", names).count() == 0
-    maglev.write_shards(docs(spark), "doc_id", names, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(TEXTS)
+    hot = docs(spark).union(docs(spark, [(7, "same", "c")] * 900))
+    maglev.write_shards(hot, "doc_id", names, str(tmp_path / "out"), rows=200)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    rows = [(r.doc_id, r.text, r.ids) for r in hot.collect()]
+    assert Counter((r.doc_id, r.text, r.ids) for r in out.collect()) == Counter(rows)
+    assert all(r.shard == names[table[r.slot]] and r.slot == int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % maglev.SLOTS for r in out.collect())
+    maglev.write_shards(hot.limit(0), "doc_id", names, str(tmp_path / "none"))
