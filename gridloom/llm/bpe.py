@@ -26,6 +26,8 @@ WIDE = 64
 CACHE = 4 << 20
 #: Pieces of one step, so that a text of any length is held in parts.
 STEP = 32_768
+#: Leaves of all trees that are stepped together.
+CELLS = 1 << 17
 
 _models: dict[tuple[str, str], "SegmentTreeBpe"] = {}
 
@@ -43,17 +45,15 @@ class SegmentTreeBpe:
             self.tokens[i] = token
         self.pieces = regex.compile(pattern)
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        pairs = {}
+        known = []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    pairs[a << 32 | b] = rank
-        self.pairs = pairs
-        order = np.fromiter(pairs, np.int64, len(pairs))
-        order.sort()
-        self.keys = np.append(order, NONE)
-        self.values = np.array([*(pairs[k] for k in order.tolist()), 0], np.int64)
+                    known.append((a << 32 | b, rank))
+        table = np.array(known, np.int64)
+        table = table[np.argsort(table[:, 0])]
+        self.keys, self.values = np.append(table[:, 0], NONE), np.append(table[:, 1], 0)
         self.single = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
         self.forget()
 
@@ -119,13 +119,13 @@ class SegmentTreeBpe:
         token = [int(self.first[b]) for b in piece]
         after = [*range(1, len(piece)), -1]
         before = [*range(-1, len(piece) - 1)]
-        pairs = self.pairs
+        ranks, tokens = self.ranks, self.tokens
         end = (NONE, 0)
         tree = [end] * (2 * n)
 
         def leaf(i: int) -> tuple[int, int]:
             j = after[i]
-            rank = pairs.get(token[i] << 32 | token[j]) if j >= 0 else None
+            rank = ranks.get(tokens[token[i]] + tokens[token[j]]) if j >= 0 else None
             return end if rank is None else (rank, i)
 
         def lift(i: int) -> None:
@@ -169,8 +169,8 @@ class SegmentTreeBpe:
             elif p:
                 sized.setdefault((len(p) - 1).bit_length(), []).append(i)
         for bits, at in sized.items():
-            for k in range(0, len(at), STEP // 4):
-                some = at[k : k + STEP // 4]
+            for k in range(0, len(at), CELLS >> bits):
+                some = at[k : k + (CELLS >> bits)]
                 for i, ids in zip(some, self._together([pieces[i] for i in some], bits)):
                     out[i] = ids
         return out

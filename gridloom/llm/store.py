@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.staging import shared_dir
 
+#: Bytes of a batch that goes to a Python worker or comes back.
+ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _made: list[str] = []
 
 
@@ -58,7 +60,13 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for a worker that gives its free memory back when the task ends, as it serves tasks of other stages too."""
+    """``run`` for a worker that gives its free memory back when the task ends, as it serves tasks of other stages too.
+
+    The session's Arrow batches are bounded by bytes, where no bound is set: texts may be long.
+    """
+    spark = SparkSession.active()
+    if spark.conf.get(ARROW, None) is None:
+        spark.conf.set(ARROW, ARROW_BYTES)
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
