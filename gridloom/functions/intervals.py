@@ -252,3 +252,9 @@ def relation(a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
         .when(a1 < a2, "overlaps_before")
         .otherwise("overlaps_after")
     )
+
+
+def shared_segment(a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
+    """What two segments have in common, as a struct (a, b), a point where they touch; NULL where they are apart."""
+    a, b = F.greatest(a1, a2), F.least(b1, b2)
+    return F.when(a <= b, F.struct(a.alias("a"), b.alias("b")))

@@ -44,7 +44,7 @@ def candidates(matches: DataFrame, c: Component, p: Pattern) -> DataFrame:
         region.alias("crb"),
         F.struct(F.lit(c.name).alias("name"), F.col("match_id").alias("child"), F.lit(c.inner).alias("inner"), "content").alias("pick"),
         F.col("precision").alias("cprecision"),
-        (F.col("pord") * 1.0e15 + F.col("ord")).alias("corder"),
+        F.struct(F.col("pord").cast("long").alias("pord"), F.col("ord").cast("long").alias("ord")).alias("corder"),
         F.col("match_id").alias("cid"),
     )
 
@@ -139,6 +139,8 @@ def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame
         state = grown
     w = Window.partitionBy("doc_id", "anchor").orderBy("path")
     best = state.withColumn("n", F.row_number().over(w)).where("n = 1").withColumn("box", minimal_box(F.col("rb"))).where("box is not null")
+    # Places in the order of the anchors; ties fall to their ids, as everywhere.
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("aord", "anchor")))
     precision = F.col("score") / top * p.confidence
     shown = F.filter("picks", lambda x: ~x["name"].startswith("_"))
     static = [f"{_json(k)}:{_json(v)}" for k, v in p.static_data.items()]
@@ -146,7 +148,7 @@ def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame
     return best.select(
         "doc_id",
         F.concat(F.lit(p.name + "#"), F.lower(F.hex(F.xxhash64(F.array_join(F.transform("picks", lambda x: F.concat_ws("=", x["name"], x["child"])), " "))))).alias("match_id"),
-        F.col("aord").cast("long").alias("ord"),
+        F.col("place").cast("long").alias("ord"),
         "box.l",
         "box.t",
         "box.r",

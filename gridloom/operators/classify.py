@@ -34,7 +34,7 @@ def terminal_matches(grammar: Grammar, found: DataFrame) -> dict[str, DataFrame]
             out[p.name] = rows.select(
                 "doc_id",
                 F.concat(F.lit(p.name + "#"), F.col("cell_id").cast("string")).alias("match_id"),
-                (F.col("y").cast("long") * 1_000_000 + F.col("x")).alias("ord"),
+                (F.shiftleft(F.col("y").cast("long"), 32) + F.col("x")).alias("ord"),
                 F.col("x").alias("l"),
                 F.col("y").alias("t"),
                 (F.col("x") + F.col("w")).alias("r"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from itertools import product
 
-from gridloom.operators.packing import best_choice, clash_sets
 from gridloom.plans.ranges import Span, split_counts
 
 Box = tuple[int, int, int, int]
+#: States of a division that are kept beside one another; beyond, the best are.
+STATES = 1024
 
 
 def touch(p: Box, q: Box) -> int:
@@ -73,103 +76,141 @@ def connected(boxes: list[Box], gap: Span, kind: str) -> list[list[int]]:
     return out
 
 
-def _quadrants(boxes: list[Box], part: list[int], origin: tuple[int, int], gw: int, gh: int) -> tuple[dict[tuple[int, int], list[int]], int]:
-    """Members by the square of a grid that holds them whole, and how many lie across its lines."""
-    held: dict[tuple[int, int], list[int]] = {}
-    across = 0
+def fits(boxes: list[Box], who: list[int], count: Span, size: tuple[Span, Span] | None) -> bool:
+    """Whether boxes are as many as ``count`` says and their bounds of the wanted size."""
+    if len(who) not in count:
+        return False
+    l, t, r, b = bounds([boxes[i] for i in who])
+    return size is None or ((r - l) in size[0] and (b - t) in size[1])
+
+
+def _windows(edges: list[tuple[int, int]], span: Span) -> Iterator[tuple[int, int]]:
+    """From a member's low edge to a member's high edge, all lengths in ``span``."""
+    lows, highs = sorted({a for a, _ in edges}), sorted({b for _, b in edges})
+    for a in lows:
+        i = bisect_left(highs, a + max(1, span.start or 1))
+        j = len(highs) if span.stop is None else bisect_right(highs, a + span.stop)
+        for b in highs[i:j]:
+            yield a, b
+
+
+def fitting_parts(boxes: list[Box], part: list[int], count: Span, size: tuple[Span, Span], gap: Span, kind: str) -> set[tuple[int, ...]]:
+    """Every connected group that all members inside some window of a wanted size form, if it fits."""
+    at: dict[tuple[int, int], list[int]] = {}
     for i in part:
-        b = boxes[i]
-        a = ((b[0] - origin[0]) // gw, (b[1] - origin[1]) // gh)
-        if a == ((b[2] - 1 - origin[0]) // gw, (b[3] - 1 - origin[1]) // gh):
-            held.setdefault(a, []).append(i)
-        else:
-            across += 1
-    return held, across
-
-
-def by_size(boxes: list[Box], part: list[int], width: Span, height: Span, count: Span, size: tuple[Span, Span] | None, gap: Span, kind: str) -> list[list[int]]:
-    """Parts of a cluster that fit a size: grids of falling size are laid over it at every offset until one takes all of it; of what they cut out, the disjoint parts that cover most are kept, the fewest of those."""
-    box = bounds([boxes[i] for i in part])
-    full = (box[2] - box[0], box[3] - box[1])
-    sizes = [(w, h) for w, h in product(range(width.start or 1, width.stop + 1), range(height.start or 1, height.stop + 1)) if (w, h) != full]
-    sizes.sort(key=lambda s: (-s[0] * s[1], abs(s[0] - s[1]), -s[0] - s[1], -s[0]))
-    found: dict[tuple[int, ...], None] = {}
-
-    def lay(w: int, h: int, dx: int, dy: int) -> bool:
-        held, left_out = _quadrants(boxes, part, (box[0] - dx, box[1] - dy), w, h)
-        for who in held.values():
-            for sub in connected([boxes[i] for i in who], gap, kind):
-                members = tuple(sorted(who[k] for k in sub))
-                if len(members) in count:
-                    found[members] = None
-                else:
-                    left_out += 1
-        return left_out == 0
-
-    any(lay(w, h, dx, dy) for w, h in sizes for dx in range(w) for dy in range(h))
-
-    def fits(members: tuple[int, ...]) -> bool:
-        b = bounds([boxes[i] for i in members])
-        return size is None or ((b[2] - b[0]) in size[0] and (b[3] - b[1]) in size[1])
-
-    options = [m for m in found if fits(m)]
-    chosen = best_choice(clash_sets(len(options), options), lambda i: (len(options[i]), -1))
-    return [list(options[i]) for i in chosen]
-
-
-def by_count(boxes: list[Box], part: list[int], count: Span, gap: Span, kind: str) -> list[list[int]]:
-    """Connected parts of wanted counts, each grown from the top left through the nearest neighbours."""
-    least = count.start or 1
-    near = neighbours([boxes[i] for i in part], gap, kind)
-    far = DISTANCES[kind]
-    box = [boxes[i] for i in part]
-    free, starts, short, out = set(range(len(part))), set(), 0, []
-    corner = lambda i: (box[i][0] + box[i][1], i)
-    for wanted in split_counts(len(part), least, count.stop):
-        if not free:
-            break
-        seed = min(starts or free, key=corner)
-        spot, cover = {seed}, box[seed]
-        rim: set[int] = set()
-        while len(spot) < min(count.stop, wanted + short):
-            rim = (set().union(*(near[i] for i in spot)) - spot) & free
+        at.setdefault((boxes[i][0], boxes[i][1]), []).append(i)
+    lefts, tops = sorted({l for l, _ in at}), sorted({t for _, t in at})
+    across = list(_windows([(boxes[i][0], boxes[i][2]) for i in part], size[0]))
+    down = list(_windows([(boxes[i][1], boxes[i][3]) for i in part], size[1]))
+    out = set()
+    for (l, r), (t, b) in product(across, down):
+        xs, ys = lefts[bisect_left(lefts, l) : bisect_left(lefts, r)], tops[bisect_left(tops, t) : bisect_left(tops, b)]
+        inside = [i for x, y in product(xs, ys) for i in at.get((x, y), ()) if boxes[i][2] <= r and boxes[i][3] <= b]
+        if len(inside) >= (count.start or 1):
+            for who in connected([boxes[i] for i in inside], gap, kind):
+                group = sorted(inside[k] for k in who)
+                if fits(boxes, group, count, size):
+                    out.add(tuple(group))
+    return out
+
+
+def tiled(boxes: list[Box], part: list[int], count: Span, size: tuple[Span, Span], gap: Span, kind: str, states: int = STATES) -> list[list[int]]:
+    """Disjoint fitting parts that leave out the fewest members, of those the fewest parts.
+
+    Members are taken from the top left; each is left out, or begins one of the parts of which it is the
+    first. What is known of a choice is which later members it covers, so choices that agree there are
+    one state. Up to ``states`` of them are kept, which is exact until there are more; then the best.
+    """
+    order = sorted(part, key=lambda i: (boxes[i][1], boxes[i][0], i))
+    place = {i: k for k, i in enumerate(order)}
+    begun: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+    most = 1
+    for who in sorted(fitting_parts(boxes, part, count, size, gap, kind), key=lambda w: (-len(w), w)):
+        mask = sum(1 << place[i] for i in who)
+        begun.setdefault((mask & -mask).bit_length() - 1, []).append((mask, who))
+        most = max(most, len(who))
+    front: dict[int, tuple[int, int, tuple]] = {0: (0, 0, ())}
+    for k in range(len(order)):
+        now: dict[int, tuple[int, int, tuple]] = {}
+
+        def reach(mask: int, out: int, n: int, chosen: tuple) -> None:
+            if mask not in now or (out, n) < now[mask][:2]:
+                now[mask] = (out, n, chosen)
+
+        for mask, (out, n, chosen) in front.items():
+            if mask >> k & 1:
+                reach(mask ^ 1 << k, out, n, chosen)
+                continue
+            for own, who in begun.get(k, ()):
+                if not own & mask:
+                    reach((own | mask) ^ 1 << k, out, n + 1, (who, chosen))
+            reach(mask, out + 1, n, chosen)
+        if len(now) > states:
+            # Members that are covered ahead save parts later.
+            kept = sorted(now, key=lambda m: (now[m][0], now[m][1] - m.bit_count() / most, m))[:states]
+            now = {m: now[m] for m in kept}
+        front = now
+    found, chosen = [], front[0][2] if front else ()
+    while chosen:
+        who, chosen = chosen
+        found.append(list(who))
+    return sorted(found)
+
+
+def _peel(left: set[int], near: list[set[int]], rank: list[tuple], wanted: int) -> set[int]:
+    """A connected part of ``wanted`` members, or as many as can be, without which the rest stays connected.
+
+    The part is a union of whole subtrees of a spanning tree, whose root is the last member, so the tree
+    still spans what is left.
+    """
+    root = max(left, key=rank.__getitem__)
+    children: dict[int, set[int]] = {root: set()}
+    todo = [root]
+    for i in todo:  # breadth first: ``todo`` grows
+        for j in sorted(near[i] & left - children.keys(), key=rank.__getitem__, reverse=True):
+            children[i].add(j)
+            children[j] = set()
+            todo.append(j)
+    if len(children) <= wanted:
+        return set(children)
+    best: set[int] = set()
+    for leaf in sorted((i for i in children if not children[i]), key=rank.__getitem__):
+        took = {leaf}
+        while len(took) < wanted:
+            rim = [j for i in took for j in near[i] & children.keys() - took if children[j] <= took]
             if not rim:
                 break
-            best = min(rim, key=lambda i: (far(box[i], cover), i))
-            spot.add(best)
-            cover = bounds([cover, box[best]])
-        free -= spot
-        short += wanted - len(spot)
-        starts = set()
-        if len(spot) >= least:
-            out.append([part[i] for i in sorted(spot)])
-            starts = rim & free if len(rim) > 1 else set()
+            took.add(min(rim, key=rank.__getitem__))
+        if len(took) > len(best):
+            best = took
+        if len(best) >= wanted:
+            break
+    return best
+
+
+def peeled(boxes: list[Box], part: list[int], count: Span, gap: Span, kind: str) -> list[list[int]]:
+    """Connected parts of wanted counts, cut from a cluster one after another from the top left, each so that the rest stays in one piece."""
+    near = neighbours([boxes[i] for i in part], gap, kind)
+    rank = [(boxes[i][0] + boxes[i][1], boxes[i][1], k) for k, i in enumerate(part)]
+    left, out = set(range(len(part))), []
+    while wanted := split_counts(len(left), count.start or 1, count.stop):
+        took = _peel(left, near, rank, wanted[0])
+        if len(took) in count:
+            out.append(sorted(part[k] for k in took))
+        else:  # no such part has the rest in one piece: one member is left out
+            took = _peel(left, near, rank, 1)
+        left -= took
     return out
 
 
 def divided(boxes: list[Box], part: list[int], count: Span, size: tuple[Span, Span] | None, breakdown: bool, gap: Span, kind: str) -> list[list[int]]:
-    """A cluster if it fits, its parts if it is too large and may be broken down, or nothing."""
-    n = len(part)
-    many = count.stop is not None and n > count.stop
-    if n not in count and not (many and breakdown):
-        return []
-    box = bounds([boxes[i] for i in part])
-    spans, large, smaller = [], False, many
-    for length, span in zip((box[2] - box[0], box[3] - box[1]), size or (Span(1, None),) * 2):
-        fits = length in span
-        if not many and fits:
-            spans.append(Span(length, length))
-            continue
-        if span.start is not None and length < span.start:
-            return []
-        cut = span.intersect(Span(1, length))
-        if cut is None:
-            return []
-        spans.append(cut)
-        smaller = True
-        large |= not fits
-    if not smaller:
+    """A cluster if it fits; if it is too large and may be broken down, parts of it that fit; else nothing."""
+    if fits(boxes, part, count, size):
         return [part]
-    if not breakdown:
+    l, t, r, b = bounds([boxes[i] for i in part])
+    small = len(part) < (count.start or 0) or (size is not None and ((r - l) < (size[0].start or 0) or (b - t) < (size[1].start or 0)))
+    if small or not breakdown:
         return []
-    return by_size(boxes, part, *spans, count, size, gap, kind) if large else by_count(boxes, part, count, gap, kind)
+    if size is not None and not ((r - l) in size[0] and (b - t) in size[1]):
+        return tiled(boxes, part, count, size, gap, kind)
+    return [who for who in peeled(boxes, part, count, gap, kind) if fits(boxes, who, count, size)]

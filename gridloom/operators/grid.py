@@ -72,3 +72,15 @@ def points(boxes: DataFrame) -> DataFrame:
 def unique_values(cells: DataFrame) -> DataFrame:
     """The distinct stripped contents of all cells, without empty ones, in order."""
     return cells.select(F.trim("content").alias("content")).where("content <> ''").distinct().orderBy("content")
+
+
+def corners(boxes: DataFrame, diagonal: bool = False) -> DataFrame:
+    """Boxes (l, t, r, b) exploded into their corners (corner, px, py): clockwise from the top left, or the first and third of these."""
+    ends = [("l", "t"), ("r", "t"), ("r", "b"), ("l", "b")][:: 2 if diagonal else 1]
+    return boxes.select("*", F.posexplode(F.array(*[F.struct(F.col(x).alias("px"), F.col(y).alias("py")) for x, y in ends])).alias("corner", "p")).select(*boxes.columns, "corner", "p.px", "p.py")
+
+
+def box_order(boxes: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``pos``, from 1: a box's place among those of its keys, by left, top, width and height."""
+    w = Window.partitionBy(*keys).orderBy("l", "t", F.col("r") - F.col("l"), F.col("b") - F.col("t"))
+    return boxes.withColumn("pos", F.row_number().over(w))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterable, Sequence
+from operator import add
 
-#: Up to so many elements that clash with one another are searched fully; larger groups are packed greedily and improved.
-FULL = 40
-STEPS = 200_000
+#: States of a search that are kept beside one another; beyond, the best are.
+STATES = 50_000
 
 
 def clash_sets(n: int, components: Sequence[Iterable[Hashable]] | None = None, compatible: Callable[[int, int], bool] | None = None) -> list[set[int]]:
@@ -48,60 +48,62 @@ def groups(clashes: list[set[int]]) -> list[list[int]]:
     return out
 
 
-def _greedy(part: list[int], clashes: list[set[int]], value: Callable[[int], tuple]) -> list[int]:
-    chosen: set[int] = set()
-    for i in sorted(part, key=lambda i: (*(-v for v in value(i)), len(clashes[i]), i)):
-        if not clashes[i] & chosen:
-            chosen.add(i)
-    return sorted(chosen)
+def _along(part: list[int], clashes: list[set[int]]) -> list[int]:
+    """A group's elements, neighbours near one another: breadth first from one with few clashes."""
+    first = min(part, key=lambda i: (len(clashes[i]), i))
+    order, seen = [first], {first}
+    for i in order:  # grows
+        new = sorted(clashes[i] - seen, key=lambda j: (len(clashes[j]), j))
+        seen.update(new)
+        order += new
+    return order
 
 
-def best_choice(clashes: list[set[int]], value: Callable[[int], tuple]) -> list[int]:
-    """Elements without clashes whose values, added up part by part, are greatest; the first in order wins ties.
+def best_choice(clashes: list[set[int]], value: Callable[[int], tuple], states: int = STATES) -> list[int]:
+    """Elements without clashes whose values, added up part by part, are greatest; the first found wins ties.
 
-    Values are tuples of which the first part must not be negative. Groups of up to FULL elements are
-    searched by branch and bound; larger ones, or those that take over STEPS steps, are packed greedily.
+    Each group that clashes is gone through element by element. All that matters of a choice is which of
+    the elements to come it blocks, so choices that block the same are one state, of which the best stays.
+    That is exact as long as there are no more than ``states`` of them, whatever the group's size; of more,
+    the best are kept. Values count to 12 places.
     """
     out: list[int] = []
     for part in groups(clashes):
         if len(part) == 1:
             out += part
             continue
-        best = _greedy(part, clashes, value)
-        if len(part) <= FULL:
-            width = len(value(part[0]))
-            total = lambda xs: tuple(sum(value(i)[k] for i in xs) for k in range(width))
-            top, steps = total(best), 0
-            order = sorted(part, key=lambda i: (tuple(-v for v in value(i)), i))
-
-            def search(at: int, chosen: list[int], blocked: set[int], left: float) -> None:
-                nonlocal best, top, steps
-                steps += 1
-                if steps > STEPS:
-                    return
-                now = total(chosen) if chosen else (0,) * width
-                if now > top:
-                    best, top = sorted(chosen), now
-                if at == len(order) or now[0] + left < top[0] - 1e-12:
-                    return
-                i = order[at]
-                rest = left - max(0, value(i)[0])
-                if i not in blocked:
-                    search(at + 1, [*chosen, i], blocked | clashes[i], rest)
-                search(at + 1, chosen, blocked, rest)
-
-            search(0, [], set(), sum(max(0, value(i)[0]) for i in order))
-        out += best
+        order = _along(part, clashes)
+        place = {e: k for k, e in enumerate(order)}
+        worth = [tuple(round(v * 10**12) for v in value(e)) for e in order]
+        front: dict[int, tuple[tuple, tuple]] = {0: ((0,) * len(worth[0]), ())}
+        for k, e in enumerate(order):
+            later = sum(1 << place[j] for j in clashes[e] if place[j] > k)
+            now: dict[int, tuple[tuple, tuple]] = {}
+            for mask, (total, chosen) in front.items():
+                free = not mask >> k & 1
+                rest = mask & ~(1 << k)
+                ways = [(rest | later, tuple(map(add, total, worth[k])), (e, chosen))] if free else []
+                for m, v, c in [*ways, (rest, total, chosen)]:
+                    if m not in now or v > now[m][0]:
+                        now[m] = (v, c)
+            if len(now) > states:
+                kept = sorted(now, key=lambda m: (now[m][0], -m.bit_count()), reverse=True)[:states]
+                now = {m: now[m] for m in kept}
+            front = now
+        chosen = max(front.values(), key=lambda x: x[0])[1]
+        while chosen:
+            e, chosen = chosen
+            out.append(e)
     return sorted(out)
 
 
-def compatible_combinations(clashes: list[set[int]], most: int | None = None, limit: int = 1000) -> list[list[int]]:
-    """All largest possible sets without clashes (none can be added), longest first, ``limit`` at most; of ``most`` elements at most."""
+def compatible_combinations(clashes: list[set[int]], most: int | None = None, limit: int | None = None) -> list[list[int]]:
+    """All largest possible sets without clashes (none can be added), longest first; of ``most`` elements at most. With ``limit`` the first found only, so many."""
     out: list[list[int]] = []
     everyone = set(range(len(clashes)))
 
     def grow(chosen: list[int], open_: set[int], done: set[int]) -> None:
-        if len(out) >= limit:
+        if limit is not None and len(out) >= limit:
             return
         if most is not None and len(chosen) == most:
             out.append(sorted(chosen))

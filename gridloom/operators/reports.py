@@ -89,3 +89,9 @@ def diagnostics(issues: DataFrame, documents: DataFrame) -> DataFrame:
     summary = F.struct(*[F.coalesce(s + "s", F.lit(0)).alias(s + "s") for s in severities])
     none = F.array().cast(per.schema["issues"].dataType)
     return out.select("doc_id", F.to_json(F.struct(F.struct("doc_id").alias("document"), summary.alias("summary"), F.coalesce("issues", none).alias("issues"))).alias("json"))
+
+
+def near_best(matches: DataFrame, *keys: str, ratio: float = 0.9) -> DataFrame:
+    """The matches of each group whose precision is at least ``ratio`` of the group's best."""
+    best = F.max("precision").over(Window.partitionBy(*keys))
+    return matches.withColumn("__best", best).where(F.col("precision") >= F.col("__best") * ratio).drop("__best")

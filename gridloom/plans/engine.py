@@ -102,7 +102,8 @@ def run(grammar: Grammar, cells: DataFrame, target: str | None = None, everythin
     found = cell_matches(cells, grammar.effective_cell_types())
     found = staged(found.select("doc_id", "cell_id", "x", "y", "w", "h", "content", "cell_type", "confidence"), "types") if stage else found
     out = Matched(grammar, cells.sparkSession, dict(cells.dtypes)["doc_id"])
-    out.documents = cells.select("doc_id").distinct()
+    # A document that couldn't be read is an error of its own, not one without matches.
+    out.documents = (cells.where("error is null") if "error" in cells.columns else cells).select("doc_id").distinct()
     terminals = terminal_matches(grammar, found)
     live = set(grammar.patterns) if everything else grammar.live(target)
     keep = (lambda df, n: staged(df, "wave")) if stage else (lambda df, n: df)

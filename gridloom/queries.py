@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import intervals as iv
 from gridloom.functions import schedule, text
 from gridloom.functions.patterns import CellType, StringPattern
-from gridloom.operators import classify, grid, reports
+from gridloom.operators import classify, export, grid, reports
 from gridloom.operators.arrays import indexed_items
 from gridloom.plans.constraints import Algebra, Location, Size, relation_test
 from gridloom.plans.engine import Matched, run
@@ -143,10 +143,9 @@ def _texts(spark, d):
     return _t(spark, d, "documents").select("doc_id", "text")
 
 
-@query("SELECT doc_id, length(regexp_replace(regexp_replace(text, '^[ \\n]+|[ \\n]+$', '', 'g'), '[ \\n]{2,}', ' ', 'g')) AS n FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s{2,}', ' ', 'g')) AS h FROM documents")
 def preprocess_shrink(spark, d):
-    en = _t(spark, d, "documents").where("lang = 'en'")
-    return en.select("doc_id", F.length(text.preprocessed(F.col("text"))).alias("n"))
+    return _texts(spark, d).select("doc_id", F.md5(text.preprocessed(F.col("text")).cast("binary")).alias("h"))
 
 
 @query("SELECT p_partkey, replace(p_name, ' ', '') AS s FROM part")
@@ -166,10 +165,9 @@ def preprocess_sparse(spark, d):
     return n.select("n_nationkey", F.trim(text.fix_sparse_words(F.regexp_replace(spaced, " +$", ""))).alias("s"))
 
 
-@query("""SELECT translate(regexp_replace(regexp_replace(regexp_replace(p_brand, '[0-9]', '#', 'g'), '[A-Z]', 'W', 'g'), '[a-z]', 'w', 'g'), '', '') AS shape, count(*) AS n FROM part GROUP BY 1""")
+@query("SELECT regexp_replace(regexp_replace(regexp_replace(p_brand || ' ' || p_type, '[0-9]', '#', 'g'), '[A-Z]', 'W', 'g'), '[a-z]', 'w', 'g') AS shape, count(*) AS n FROM part GROUP BY 1")
 def mask_histogram(spark, d):
-    # Upper case first: the mask's own letters must not be masked again.
-    return _t(spark, d, "part").groupBy(F.regexp_replace(F.regexp_replace(F.regexp_replace("p_brand", "[0-9]", "#"), "[A-Z]", "W"), "[a-z]", "w").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    return _t(spark, d, "part").groupBy(text.mask(F.concat_ws(" ", "p_brand", "p_type")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Classification
@@ -177,8 +175,12 @@ def mask_histogram(spark, d):
 WORD_TYPES = [
     CellType("short", [StringPattern("[a-z]{1,3}", 0.6, anchors="both")]),
     CellType("word", [StringPattern("[a-z]+", 0.8), StringPattern("[A-Z][a-z]+", 0.7)]),
-    CellType("number", [StringPattern("[0-9]+", 0.9, anchors="both")]),
+    CellType("number", [StringPattern("[0-9]{2}", 0.9, anchors="both")]),
     CellType("ending", [StringPattern("[a-z]{2}", 0.5, anchors="end")]),
+    CellType("first", [StringPattern("[a-z]", 0.51)]),
+    CellType("pair", [StringPattern("[a-z]{2}", 0.49)]),
+    CellType("last", [StringPattern("[a-z]", 0.48, anchors="end")]),
+    CellType("any", [StringPattern("[A-Za-z].*", 0.35)]),
 ]
 WORDS = "(SELECT DISTINCT unnest(string_split(p_name || ' ' || p_type || ' ' || p_size, ' ')) AS content FROM part)"
 
@@ -191,8 +193,13 @@ def _words(spark, d):
 CLASSIFIED = f"""m AS (SELECT content, cell_type, precision, ord FROM (SELECT content, unnest([
   {{'cell_type': 'short', 'ord': 0, 'precision': CASE WHEN regexp_full_match(content, '[a-z]{{1,3}}') THEN 0.6 END}},
   {{'cell_type': 'word', 'ord': 1, 'precision': CASE WHEN regexp_matches(content, '^[a-z]+') THEN 0.8 * length(regexp_extract(content, '^[a-z]+')) / length(content) WHEN regexp_matches(content, '^[A-Z][a-z]+') THEN 0.7 * length(regexp_extract(content, '^[A-Z][a-z]+')) / length(content) END}},
-  {{'cell_type': 'number', 'ord': 2, 'precision': CASE WHEN regexp_full_match(content, '[0-9]+') THEN 0.9 END}},
-  {{'cell_type': 'ending', 'ord': 3, 'precision': CASE WHEN regexp_matches(content, '[a-z]{{2}}$') THEN 0.5 * 2 / length(content) END}}], recursive := true) FROM {WORDS}) WHERE precision IS NOT NULL)"""
+  {{'cell_type': 'number', 'ord': 2, 'precision': CASE WHEN regexp_full_match(content, '[0-9]{{2}}') THEN 0.9 END}},
+  {{'cell_type': 'ending', 'ord': 3, 'precision': CASE WHEN regexp_matches(content, '[a-z]{{2}}$') THEN 0.5 * 2 / length(content) END}},
+  {{'cell_type': 'first', 'ord': 4, 'precision': CASE WHEN regexp_matches(content, '^[a-z]') THEN 0.51 / length(content) END}},
+  {{'cell_type': 'pair', 'ord': 5, 'precision': CASE WHEN regexp_matches(content, '^[a-z]{{2}}') THEN 0.49 * 2 / length(content) END}},
+  {{'cell_type': 'last', 'ord': 6, 'precision': CASE WHEN regexp_matches(content, '[a-z]$') THEN 0.48 / length(content) END}},
+  {{'cell_type': 'any', 'ord': 7, 'precision': CASE WHEN regexp_matches(content, '^[A-Za-z]') THEN 0.35 END}}], recursive := true) FROM {WORDS}) WHERE precision IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY content ORDER BY round(precision, 9) DESC, ord) <= 5)"""
 
 
 @query(f"WITH {CLASSIFIED} SELECT content, cell_type, round(precision, 6) AS precision, CAST(row_number() OVER (PARTITION BY content ORDER BY precision DESC, ord) AS INT) AS rank FROM m")
@@ -216,9 +223,9 @@ def unmatched_cells(spark, d):
     return classify.unmatched(w, classify.cell_matches(w, WORD_TYPES)).select("content")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(year(l_shipdate) AS VARCHAR) AS year, lpad(CAST(month(l_shipdate) AS VARCHAR), 2, '0') AS month FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(year(l_shipdate) AS VARCHAR) AS year, lpad(CAST(month(l_shipdate) AS VARCHAR), 2, '0') AS month FROM lineitem")
 def extract_captures(spark, d):
-    li = _t(spark, d, "lineitem").where("l_returnflag = 'R'")
+    li = _t(spark, d, "lineitem")
     p = StringPattern(r"(?P<year>\d{4})-(?P<month>\d\d)-", 1.0, captures=["year", "month"])
     m = p.match(F.date_format("l_shipdate", "yyyy-MM-dd"), "date", 0)
     return li.select("l_orderkey", "l_linenumber", "l_partkey", m["captures"]["year"].alias("year"), m["captures"]["month"].alias("month"))
@@ -325,7 +332,7 @@ def area_inner_join(spark, d):
     return _boxes(matched(spark, d, _area(PAIR, size="2 x 1")).lookup("area"))
 
 
-@query(f"WITH {EV} SELECT doc_id, x AS l, y AS t, 'purchase#' || CAST(y * 1000000 + px AS VARCHAR) AS child FROM ev {LEFT} WHERE content = 'click' AND px IS NOT NULL")
+@query(f"WITH {EV} SELECT doc_id, x AS l, y AS t, 'purchase#' || CAST(y * 4294967296 + px AS VARCHAR) AS child FROM ev {LEFT} WHERE content = 'click' AND px IS NOT NULL")
 def area_outer_nearest(spark, d):
     m = matched(spark, d, _area(SPOT, NEAR)).lookup("area")
     return m.select("doc_id", "l", "t", F.filter("children", lambda c: c["name"] == "other")[0]["child"].alias("child"))
@@ -352,9 +359,9 @@ def area_score(spark, d):
     return matched(spark, d, _area(parts, size="1 x 2", allows_overlapping=True)).lookup("area").select("doc_id", "l", "t", F.round("precision", 6).alias("precision"))
 
 
-@query()
+@query(f"WITH {EV}, {islands('x', 'click', 'view')} SELECT doc_id, CAST(l + 2 * k AS INT) AS l, t, CAST(l + 2 * k + 2 AS INT) AS r, b, 1.0::DOUBLE AS precision FROM a, range(0, 1000) tk(k) WHERE l + 2 * k + 2 <= r")
 def area_packing(spark, d):
-    """Overlapping areas settled by the solver; tests compare it with a full search."""
+    """Overlapping areas settled by the solver: of a run of cells as many pairs as it holds, as far left as may be."""
     return _boxes(matched(spark, d, _area({"a": {"pattern": "act"}, "b": {"pattern": "act"}}, size="2 x 1")).lookup("area"))
 
 
@@ -386,14 +393,15 @@ def overlap_full(spark, d):
     return matched(spark, d, arrays | lone | {"any": {"kind": "general", "overlap": {"mode": "full", "resolution": ["area-max"]}}}, stage=True).lookup("any").select("doc_id", "l", "t", "r", "b")
 
 
-@query(f"""WITH {EV}, {islands('x', 'click', 'view')}, w AS (SELECT * FROM a JOIN total USING (doc_id) WHERE n >= 2 AND total > 1),
-p AS (SELECT *, row_number() OVER () AS id FROM w)
-SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id""")
+@query(f"""WITH {EV}, r AS (WITH {islands('x', 'click', 'view')} SELECT * FROM a JOIN total USING (doc_id) WHERE n >= 2 AND total > 1),
+c AS (WITH {islands('y', 'click', 'view')} SELECT * FROM a JOIN total USING (doc_id) WHERE n >= 2 AND total > 1),
+u AS (SELECT doc_id, l, t, r, b, n, 0 AS way FROM r UNION ALL SELECT doc_id, l, t, r, b, n, 1 FROM c)
+SELECT doc_id, l, t, r, b FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.doc_id = u.doc_id AND o.way <> u.way AND o.n > u.n
+  AND ((o.l = u.l AND o.t = u.t) OR (o.r = u.r AND o.t = u.t) OR (o.r = u.r AND o.b = u.b) OR (o.l = u.l AND o.b = u.b)))""")
 def overlap_partial(spark, d):
-    # Rows of one line never share a corner, so all stay: the resolution must not lose any.
-    spec = _array() | {"any": {"kind": "general", "overlap": {"mode": "partial"}}}
-    spec["arr"]["extends"] = ["any"]
-    return matched(spark, d, spec, stage=True).lookup("any").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # A row and a column that share an end cell share a corner, and neither lies in the other.
+    arrays = {n: {"kind": "array", "item_pattern": "act", "direction": n, "item_count": "2+", "extends": ["any"]} for n in ("row", "column")}
+    return matched(spark, d, arrays | {"any": {"kind": "general", "overlap": {"mode": "partial", "resolution": ["area-max"]}}}, stage=True).lookup("any").select("doc_id", "l", "t", "r", "b")
 
 
 @query(f"""WITH {EV}, n AS (SELECT doc_id, count(*) AS n FROM ev WHERE content = 'signup' GROUP BY doc_id)
@@ -418,10 +426,13 @@ def unused_matches(spark, d):
     return reports.unused(staged(m.all(), "all"), m.lookup("area"), 1, ["view"]).select("doc_id", "l", "t")
 
 
-@query(f"""WITH {EV}, {islands('x', 'click', 'view')}, w AS (SELECT * FROM a JOIN total USING (doc_id) WHERE n >= 2 AND total > 1)
-SELECT ev.doc_id, x AS px, y AS py, round(max(CASE WHEN w.n IS NULL THEN 1.0 ELSE 1.0 END), 6)::DOUBLE AS precision FROM ev LEFT JOIN w ON ev.doc_id = w.doc_id AND x >= l AND x < r AND y = t GROUP BY ALL""")
+@query(f"""WITH {EV}, r AS (WITH {islands('x', 'click', 'view')} SELECT * FROM a JOIN total USING (doc_id) WHERE n >= 2 AND total > 1),
+c AS (WITH {islands('y', 'click', 'view')} SELECT * FROM a JOIN total USING (doc_id) WHERE n >= 2 AND total > 1),
+u AS (SELECT doc_id, l, t, r, b, n FROM r UNION ALL SELECT doc_id, l, t, r, b, n FROM c)
+SELECT ev.doc_id, x AS px, y AS py, round(max(1 - 0.5 / n), 6)::DOUBLE AS precision FROM ev JOIN u ON ev.doc_id = u.doc_id AND x >= l AND x < r AND y >= t AND y < b GROUP BY ALL""")
 def best_match_per_cell(spark, d):
-    return reports.best_per_cell(matched(spark, d, _array()).all()).select("doc_id", "px", "py", F.round("precision", 6).alias("precision"))
+    arrays = {n: {"kind": "array", "item_pattern": "act", "direction": n, "item_count": "2+", "extends": ["any"]} for n in ("row", "column")}
+    return reports.best_per_cell(matched(spark, d, arrays | {"any": {"kind": "general"}}).lookup("any")).select("doc_id", "px", "py", F.round("precision", 6).alias("precision"))
 
 
 @query(f"WITH {EV}, {islands('x', 'click', 'view')} SELECT doc_id, l, t, 'arr: ' || (r - l) || 'x1, ' || printf('%.2f', 1 - 0.5 / n) AS note FROM a JOIN total USING (doc_id) WHERE n >= 2 AND total > 1")
@@ -527,10 +538,18 @@ def schedule_metadata(spark, d):
     return _t(spark, d, "nation").select("n_nationkey", m["course"].alias("course"), m["department_shortname"].alias("faculty"), m["scope"].alias("scope"))
 
 
-@query("SELECT doc_id, CAST(month_ AS INT) AS month, string_agg(CAST(day_ AS VARCHAR), ',' ORDER BY day_) AS days FROM (SELECT DISTINCT user_id AS doc_id, month(ts) AS month_, day(ts) AS day_ FROM events WHERE event_type = 'purchase') GROUP BY ALL")
+@query("""WITH d AS (SELECT DISTINCT user_id AS doc_id, date_trunc('day', ts) AS day FROM events),
+x AS (SELECT doc_id, day, 1 + week(day) % 2 AS week, isodow(day) - 1 AS wd, strftime(day, '%Y-%m') AS month FROM d),
+y AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY month) - 1 AS month_index FROM x)
+SELECT doc_id, CASE week WHEN 1 THEN 'first_week' ELSE 'second_week' END AS week, CAST(wd AS INT) AS week_day_index, CAST(month_index AS INT) AS month_index,
+  string_agg(CAST(day(day) AS VARCHAR), ',' ORDER BY day) AS days FROM y WHERE wd < 6 GROUP BY ALL""")
 def calendar_groups(spark, d):
-    e = _t(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("doc_id"), F.month("ts").alias("month"), F.dayofmonth("ts").alias("day")).distinct()
-    return e.groupBy("doc_id", "month").agg(F.array_join(F.transform(F.array_sort(F.collect_list("day")), lambda x: x.cast("string")), ",").alias("days"))
+    day = F.date_trunc("day", "ts")
+    days = _t(spark, d, "events").select(F.col("user_id").alias("doc_id"), day.alias("day")).distinct()
+    day = F.col("day")
+    days = days.select("doc_id", (1 + F.weekofyear(day) % 2).alias("week"), F.coalesce(F.get(F.array(*map(F.lit, export.WEEK_DAYS)), F.weekday(day)), F.lit("?")).alias("week_day"), F.date_format(day, "yyyy-MM").alias("month"), F.dayofmonth(day).cast("string").alias("month_day"), F.unix_date(day.cast("date")).alias("ord"))
+    weeks = export.calendar(days).select("doc_id", F.explode("weeks").alias("week", "days")).select("doc_id", "week", F.explode("days").alias("x"))
+    return weeks.select("doc_id", "week", "x.week_day_index", F.explode("x.calendar").alias("c")).select("doc_id", "week", "week_day_index", "c.month_index", F.array_join("c.month_days", ",").alias("days"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

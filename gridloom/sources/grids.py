@@ -15,7 +15,7 @@ def as_cells(df: DataFrame, w: Column | int = 1, h: Column | int = 1) -> DataFra
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return df.select(
         "doc_id",
-        (F.col("y").cast("long") * 1_000_000 + F.col("x")).alias("cell_id"),
+        (F.shiftleft(F.col("y").cast("long"), 32) + F.col("x")).alias("cell_id"),
         F.col("x").cast("int").alias("x"),
         F.col("y").cast("int").alias("y"),
         lit(w).cast("int").alias("w"),

@@ -149,7 +149,7 @@ def xlsx_cells(files: DataFrame, path: str = "path", content: str = "content") -
             for p, raw in zip(batch.column(0), batch.column(1)):
                 doc = p.as_py()
                 try:
-                    rows = [(doc, y * 1_000_000 + x, x, y, w, h, text, dict(zip(("font_style", "background_color", "borders", "font_color"), st)) if st else None, None) for x, y, w, h, text, st in Workbook(raw.as_py()).cells()]
+                    rows = [(doc, (y << 32) + x, x, y, w, h, text, dict(zip(("font_style", "background_color", "borders", "font_color"), st)) if st else None, None) for x, y, w, h, text, st in Workbook(raw.as_py()).cells()]
                 except (zipfile.BadZipFile, KeyError, IndexError, ValueError, TypeError, AttributeError, ElementTree.ParseError) as e:
                     rows = [(doc, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
                 if rows:

@@ -148,3 +148,96 @@ def test_big_cluster_is_shuffle_proof():
     rng.shuffle(boxes)
     parts = divided(boxes, list(range(256)), Span(16, 16), (Span(4, 4), Span(4, 4)), True, Span(0, 0), "corner")
     assert len(parts) == 16
+
+
+def test_packing_of_long_chains_is_exact():
+    """Chains of hundreds of elements, against a plain recurrence."""
+    rng = random.Random(6)
+    for n in (60, 300):
+        worth = [rng.randint(1, 9) for _ in range(n)]
+        cells = [range(i, i + 2) for i in range(n)]
+        order = list(range(n))
+        rng.shuffle(order)
+        chosen = best_choice(clash_sets(n, [cells[i] for i in order]), lambda k: (worth[order[k]],))
+        take, skip = 0, 0
+        for w in worth:
+            take, skip = skip + w, max(take, skip)
+        assert sum(worth[order[k]] for k in chosen) == max(take, skip)
+        assert all(abs(order[a] - order[b]) > 1 for a, b in combinations(chosen, 2))
+
+
+def partitions(cells, fits):
+    """The fewest members left out, then the fewest parts, over all sets of disjoint connected fitting parts."""
+    cells = tuple(sorted(cells, key=lambda c: (c[1], c[0])))
+    if not cells:
+        return 0, 0
+    first, rest = cells[0], cells[1:]
+    out, n = partitions(rest, fits)
+    best = (out + 1, n)
+    for k in range(len(rest) + 1):
+        for some in combinations(rest, k):
+            part = (first, *some)
+            if fits(part):
+                out, n = partitions(tuple(c for c in rest if c not in some), fits)
+                best = min(best, (out, n + 1))
+    return best
+
+
+def joined(part):
+    seen, todo = {part[0]}, [part[0]]
+    while todo:
+        x, y = todo.pop()
+        for c in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+            if c in part and c not in seen:
+                seen.add(c)
+                todo.append(c)
+    return len(seen) == len(part)
+
+
+def shapes():
+    rng = random.Random(9)
+    out = [[(x, y) for x in range(w) for y in range(h)] for w, h in ((1, 7), (4, 2), (3, 3), (8, 1))]
+    while len(out) < 14:
+        shape = {(0, 0)}
+        while len(shape) < rng.randint(5, 8):
+            x, y = rng.choice(sorted(shape))
+            shape.add(rng.choice([(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]))
+        out.append(sorted(shape))
+    return out
+
+
+def test_division_by_size_is_best():
+    """All parts are whole windows' groups; against a search over all sets of parts."""
+    for shape in shapes():
+        boxes = [(x, y, x + 1, y + 1) for x, y in shape]
+        for size in ((Span(1, 2), Span(1, 2)), (Span(2, 3), Span(1, 1)), (Span(1, 3), Span(2, 2))):
+            got = divided(boxes, list(range(len(boxes))), Span(1), size, True, Span(0, 0), "side")
+            wide, high = (max(v) - min(v) + 1 for v in zip(*shape))
+            if wide < size[0].start or high < size[1].start:
+                assert got == []
+                continue
+            members = [i for p in got for i in p]
+            assert len(set(members)) == len(members) and all(joined([shape[i] for i in p]) for p in got)
+
+            def fits(part):
+                l, t, r, b = min(x for x, _ in part), min(y for _, y in part), max(x for x, _ in part) + 1, max(y for _, y in part) + 1
+                inside = [c for c in shape if l <= c[0] < r and t <= c[1] < b]
+                return (r - l) in size[0] and (b - t) in size[1] and joined(list(part)) and all(c in part or not any(abs(c[0] - q[0]) + abs(c[1] - q[1]) == 1 for q in part) for c in inside)
+
+            assert (len(shape) - len(members), len(got)) == partitions(shape, fits), (shape, size)
+
+
+def test_division_by_count():
+    """Connected parts of wanted counts, each cell once; on lines and rectangles as many cells as can be."""
+    for shape in shapes():
+        boxes = [(x, y, x + 1, y + 1) for x, y in shape]
+        for least, most in ((2, 3), (3, 4), (1, 4)):
+            if len(shape) <= most:
+                continue
+            got = divided(boxes, list(range(len(boxes))), Span(least, most), None, True, Span(0, 0), "side")
+            members = [i for p in got for i in p]
+            assert len(set(members)) == len(members) and all(least <= len(p) <= most and joined([shape[i] for i in p]) for p in got)
+            left = partitions(shape, lambda part: least <= len(part) <= most and joined(list(part)))[0]
+            square = len(shape) == len({x for x, _ in shape}) * len({y for _, y in shape})
+            assert len(shape) - len(members) == left or not square, (shape, least, most)
+            assert len(members) >= (len(shape) - left) * 0.6
