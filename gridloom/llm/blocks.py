@@ -33,15 +33,16 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFra
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
-def led(classes: DataFrame, member: str, buckets: str) -> DataFrame:
+def led(classes: DataFrame, member: str, buckets: str, alone: int = 0) -> DataFrame:
     """(member, rep, n, gs): of members that share a bucket with others, for each such bucket its place t, group g and the group's size.
 
     ``classes`` has a row for each member, its smallest id ``rep``, how often it occurs as ``n``, and an
-    array of buckets. A group is named after the least (rep, member) of the bucket.
+    array of buckets. A group is named after the least (rep, member) of the bucket; but a bucket of up to
+    ``alone`` members is a group of its own, which suits buckets that many share by chance.
     """
     spread = written(classes.select(member, "rep", "n", F.posexplode(buckets).alias("t", "bucket")), "buckets")
     leaders = spread.groupBy("bucket").agg(F.min(F.struct("rep", member)).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    leaders = leaders.select("bucket", "size", F.xxhash64("lead").alias("g"))
+    leaders = leaders.select("bucket", "size", F.when(F.col("size") > alone, F.xxhash64("lead")).otherwise(F.col("bucket")).alias("g"))
     placed = written(join_hot(spread, leaders, "bucket", spread.count()).select(member, "rep", "n", "t", "g"), "placed")
     dropped(spread)
     pairs = written(placed.select("g", member).distinct(), "pairs")

@@ -82,7 +82,7 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9, r
 
     column = F.col(vector) if kind == "<f4" else F.col(vector).cast("array<double>")
     rows = df.select(F.col(key).cast("bigint").alias("id"), column.alias("v")).mapInArrow(freeing(serialized), "id long, raw binary")
-    rows = written(rows.withColumn("class", F.unhex(F.sha2("raw", 256))), "vectors")
+    rows = written(rows.withColumn("class", F.substring(F.unhex(F.sha2("raw", 256)), 1, 16)), "vectors")
     known = rows.where("raw is not null and id is not null")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9, r
 
     classes = known.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
     classes = written(classes.mapInArrow(freeing(hashed), "class binary, rep long, n long, raw binary, buckets array<bigint>"), "classes")
-    members = led(classes, "class", "buckets").join(classes.select("class", "raw"), "class")
+    members = led(classes, "class", "buckets", BLOCK).join(classes.select("class", "raw"), "class")
     placed = members.withColumn("group", F.explode("groups")).withColumn("pair", F.explode(chunk_pairs(F.col("class"), F.col("group.size"), BLOCK)))
     placed = placed.select("group.g", "pair.a", "pair.b", "pair.own", "class", "rep", "n", "gs", "raw")
 
