@@ -27,11 +27,11 @@ TAIL = "<QQI4x8s"
 MAGIC = b"GLTOKEN1"
 INDEX = np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<u8"), ("at", "<u8")])
 #: Chunks that a process remembers; a slice that finds the cache full starts it anew.
-CACHE = 150_000
+CACHE = 250_000
 #: Texts that keep their chunks as they are hold other letters, marks of special tokens, or a mark before a final point or comma.
 TRICKY = r"[^\x00-\x{12f}\x{131}-\x{24f}]|<\||[^\s\pL\pN][.,](?:\s|$)"
 #: Characters of texts that are encoded together.
-STEP = 4 << 20
+STEP = 8 << 20
 DICTIONARY_BYTES = 32_768
 #: The dictionary is trained on so many documents of lowest hash, a span of so many characters of each; it affects sizes only.
 SAMPLE_DOCS, SAMPLE_CHARS = 1024, 16_384
@@ -165,15 +165,28 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def _encoded(enc: WordTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Keys, ids and ends of slices of batches, of about STEP characters or one text each."""
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they hold about STEP bytes: each new word is looked up once in them."""
+    held, size = [], 0
     for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        held.append(batch)
+        size += batch.nbytes
+        if size >= STEP:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _encoded(enc: WordTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Keys, ids and ends of slices of rows, of about STEP characters or one text each."""
+    for table in _joined(batches):
+        size = np.cumsum(pc.fill_null(pc.binary_length(table.column(1)), 0).to_numpy())
         a = 0
-        while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + STEP, "right")))
-            part = batch.slice(a, b - a)
-            yield (part.column(0).to_pylist(), *enc.encode_batch(part.column(1)))
+        while a < table.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + 2 * STEP, "right")))
+            part = table.slice(a, b - a)
+            yield (part.column(0).to_pylist(), *enc.encode_batch(part.column(1).combine_chunks()))
             a = b
 
 
