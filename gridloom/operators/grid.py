@@ -69,6 +69,19 @@ def points(boxes: DataFrame) -> DataFrame:
     return some.withColumn("px", F.explode(F.sequence("l", F.col("r") - 1))).withColumn("py", F.explode(F.sequence("t", F.col("b") - 1)))
 
 
+def ordered_points(boxes: DataFrame, first: str = "right", then: str = "down", exclude_top_left: bool = False) -> DataFrame:
+    """The boxes' points with ``pos``, from 1: a point's place when lines run ``first`` and follow one another ``then``.
+
+    ``then`` on the axis of ``first`` stands for the other axis' usual way. Without the top left point the
+    places of the others stay.
+    """
+    if DIRECTIONS[then][0] == DIRECTIONS[first][0]:
+        then = "down" if DIRECTIONS[first][0] == "x" else "right"
+    steps, width = {"right": F.col("px") - F.col("l"), "left": F.col("r") - 1 - F.col("px"), "down": F.col("py") - F.col("t"), "up": F.col("b") - 1 - F.col("py")}, {"x": F.col("r") - F.col("l"), "y": F.col("b") - F.col("t")}
+    out = points(boxes).withColumn("pos", steps[then] * width[DIRECTIONS[first][0]] + steps[first] + 1)
+    return out.where("px <> l or py <> t") if exclude_top_left else out
+
+
 def unique_values(cells: DataFrame) -> DataFrame:
     """The distinct stripped contents of all cells, without empty ones, in order."""
     return cells.select(F.trim("content").alias("content")).where("content <> ''").distinct().orderBy("content")

@@ -30,10 +30,25 @@ class Span:
         high = self.stop is None or (other.stop is not None and other.stop <= self.stop)
         return low and high
 
+    @classmethod
+    def make(cls, value) -> Span:
+        """A span from a span, a number, a notation, or a pair of ends."""
+        if isinstance(value, Span):
+            return value
+        return parse_span(value) if isinstance(value, (int, str)) else cls(*value)
+
     @property
     def is_point(self) -> bool:
         return self.start is not None and self.start == self.stop
 
+    @property
+    def is_open(self) -> bool:
+        return self.start is None or self.stop is None
+
+    @property
+    def point(self) -> int | None:
+        return self.start if self.is_point else None
+
     def __neg__(self) -> Span:
         return Span(None if self.stop is None else -self.stop, None if self.start is None else -self.start)
 

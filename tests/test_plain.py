@@ -241,3 +241,8 @@ def test_division_by_count():
             square = len(shape) == len({x for x, _ in shape}) * len({y for _, y in shape})
             assert len(shape) - len(members) == left or not square, (shape, least, most)
             assert len(members) >= (len(shape) - left) * 0.6
+
+
+def test_span_make():
+    assert Span.make(3) == Span(3, 3) == Span.make(Span(3, 3)) and Span.make("2+") == Span(2, None) == Span.make((2, None))
+    assert Span(2, None).is_open and not Span(1, 4).is_open and Span(4, 4).point == 4 and Span(1, 4).point is None
