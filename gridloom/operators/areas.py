@@ -8,7 +8,6 @@ optional component's absence is one more branch, of the greatest rank.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.intervals import box_in_maximal, box_union, distance_by_axis, distance_to_overlap, intersect_borders, minimal_box, narrowed, ranged_valid
+from gridloom.operators.classify import merged, static_fields
 from gridloom.operators.packing import best_choice, clash_sets
 from gridloom.plans.constraints import child_region, parent_region
 from gridloom.plans.grammar import THRESHOLD, Component, Grammar, Pattern
@@ -143,8 +143,7 @@ def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame
     best = best.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("aord", "anchor")))
     precision = F.col("score") / top * p.confidence
     shown = F.filter("picks", lambda x: ~x["name"].startswith("_"))
-    static = [f"{_json(k)}:{_json(v)}" for k, v in p.static_data.items()]
-    body = F.array_join(F.concat(F.array(*map(F.lit, static)).cast("array<string>"), F.transform(shown, lambda x: F.concat(F.lit('"'), x["name"], F.lit('":'), x["content"]))), ",")
+    body = F.array_join(F.transform(shown, lambda x: F.concat(F.lit('"'), x["name"], F.lit('":'), x["content"])), ",")
     return best.select(
         "doc_id",
         F.concat(F.lit(p.name + "#"), F.lower(F.hex(F.xxhash64(F.array_join(F.transform("picks", lambda x: F.concat_ws("=", x["name"], x["child"])), " "))))).alias("match_id"),
@@ -154,15 +153,11 @@ def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame
         "box.r",
         "box.b",
         precision.alias("precision"),
-        F.concat(F.lit("{"), body, F.lit("}")).alias("content"),
+        merged(F.concat(F.lit("{"), body, F.lit("}")), static_fields(p.static_data)).alias("content"),
         F.transform("picks", lambda x: F.struct(x["name"].alias("name"), x["child"].alias("child"), x["inner"].alias("inner"))).alias("children"),
     )
 
 
-def _json(v) -> str:
-    return json.dumps(v, ensure_ascii=False)
-
-
 def above_threshold(matches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return matches.where(F.col("precision") >= threshold)
 

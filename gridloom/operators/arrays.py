@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.intervals import distance_to_contact, distance_to_touch, within
+from gridloom.operators.classify import merged, static_fields
 from gridloom.operators.clusters import DISTANCES, connected, divided
 from gridloom.plans.grammar import THRESHOLD, Pattern
 from gridloom.plans.ranges import Span
@@ -162,6 +163,7 @@ def array_matches(items: DataFrame, p: Pattern, keys: list[str] | None = None) -
     kind = dict(several.dtypes)["items"]
     found = several.withColumn("items", F.col("items").cast(kind)).unionByName(single.withColumn("items", F.col("items").cast(kind)))
     ids = F.transform("items", lambda x: x["match_id"])
+    shown = F.transform("items", lambda x, i: merged(x["content"], [("@index_in_array", (i + 1).cast("string"))] if p.index_items else []))
     return found.where(F.col("score") * p.confidence >= THRESHOLD).select(
         *keys,
         F.concat(F.lit(p.name + "#"), F.lower(F.hex(F.xxhash64(F.array_join(ids, " "))))).alias("match_id"),
@@ -171,7 +173,7 @@ def array_matches(items: DataFrame, p: Pattern, keys: list[str] | None = None) -
         "r",
         "b",
         (F.col("score") * p.confidence).alias("precision"),
-        F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["content"]), ","), F.lit("]")).alias("content"),
+        merged(F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]")), static_fields(p.static_data)).alias("content"),
         F.transform("items", lambda x, i: F.struct((i + 1).cast("string").alias("name"), x["match_id"].alias("child"), F.lit(True).alias("inner"))).alias("children"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,27 @@ def json_text(c):
     return F.substring(j, F.lit(2), F.length(j) - 2)
 
 
+def merged(content, fields):
+    """A content (JSON) with fields put before its own: an object's own ones win, anything else goes to ``@content``.
+
+    ``fields`` are pairs of a name and a column of JSON.
+    """
+    if not fields:
+        return content
+    own = F.coalesce(F.json_object_keys(content), F.array().cast("array<string>"))
+    entry = lambda k, v: F.concat(F.lit(json.dumps(k, ensure_ascii=False) + ":"), v)
+    free = [F.when(F.array_contains(own, k), F.array().cast("array<string>")).otherwise(F.array(entry(k, v))) for k, v in fields]
+    head, body = F.array_join(F.flatten(F.array(*free)), ","), F.substr(content, F.lit(2))
+    joined = F.concat(F.lit("{"), head, F.when((head != "") & (content != "{}"), ",").otherwise(""), body)
+    alone = F.concat(F.lit("{"), F.array_join(F.array(*[entry(k, v) for k, v in fields]), ","), F.lit(',"@content":'), content, F.lit("}"))
+    return F.when(content.startswith("{"), joined).otherwise(alone)
+
+
+def static_fields(static_data: dict) -> list:
+    """A pattern's static data as fields of ``merged``."""
+    return [(k, F.lit(json.dumps(v, ensure_ascii=False))) for k, v in static_data.items()]
+
+
 def cell_matches(cells: DataFrame, types: list[CellType], limit: int | None = LIMIT) -> DataFrame:
     """A row for each of a cell's best types, with ``rank`` from 1. A null content matches nothing."""
     found = cells.withColumn("found", classify(F.col("content"), types, limit)).select("*", F.posexplode("found").alias("rank", "m")).drop("found")
@@ -40,7 +63,7 @@ def terminal_matches(grammar: Grammar, found: DataFrame) -> dict[str, DataFrame]
                 (F.col("x") + F.col("w")).alias("r"),
                 (F.col("y") + F.col("h")).alias("b"),
                 (F.col("confidence") * p.confidence).alias("precision"),
-                json_text(F.col("content")).alias("content"),
+                merged(json_text(F.col("content")), static_fields(p.static_data)).alias("content"),
                 F.array().cast(CHILDREN).alias("children"),
             )
     return out

@@ -38,22 +38,49 @@ def texts(value: Column, *names: str) -> Column:
     return F.filter(clean, lambda t: t != "")
 
 
+#: How deep parts of a discipline may lie in one another.
+DEPTH = 6
+
+
+def parts(value: Column, *names: str) -> Column:
+    """All JSON values under the first of the names that an object has, in lists and in objects of parts m1, m2, ... too, in order.
+
+    Each of DEPTH passes opens every list and object found so far; a text is left as it is. Objects with
+    none of the names and no parts have no values.
+    """
+    numbered = lambda x: F.filter(F.map_entries(F.from_json(x, "map<string,string>")), lambda e: e["key"].rlike(r"^m\d+$"))
+
+    def opened(x: Column) -> Column:
+        places = F.array_sort(F.transform(numbered(x), lambda e: F.struct(F.substr(e["key"], F.lit(2)).try_cast("int").alias("i"), e["value"].alias("v"))))
+        inner = at(x, *names)
+        held = F.when(inner.isNotNull(), F.array(inner)).otherwise(F.transform(places, lambda e: e["v"]))
+        listed = F.from_json(x, "array<string>")
+        return F.when(x.startswith("{"), F.coalesce(held, _none())).when(x.startswith("["), F.coalesce(listed, F.array(x))).otherwise(F.array(x))
+
+    out = F.when(value.isNull(), _none()).otherwise(F.array(value))
+    for _ in range(DEPTH):
+        out = F.flatten(F.transform(F.filter(out, lambda x: x.isNotNull()), opened))
+    return out
+
+
 def subject(content: Column) -> Column:
-    """A lesson's subject from its frame's discipline; null where there is none."""
-    d = at(content, "frame.discipline")
-    found = texts(F.coalesce(at(d, "discipline", "discipline_name"), d), "discipline", "discipline_name")
-    text = F.array_join(found, " ")
-    return F.when((text != "") & ~text.startswith("{"), text)
+    """A lesson's subject from its frame's discipline, wherever in it the parts of its name lie; null where there is none."""
+    found = F.transform(parts(at(content, "frame.discipline"), "discipline", "discipline_name"), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
+    text = F.array_join(F.filter(found, lambda t: (t != "") & ~t.startswith("{")), " ")
+    return F.when(text != "", text)
 
 
 def groups(content: Column, known: Column) -> Column:
-    """A lesson's groups: one, a range within the document's groups, or a list."""
+    """A lesson's groups: one, a range within the document's groups, a list, or those of the discipline's parts, each once."""
     d = at(content, "frame.discipline")
     first, last = at(d, "first_group.group"), at(d, "last_group.group")
+    inner = F.when(d.startswith("{"), F.map_values(F.map_filter(F.from_json(d, "map<string,string>"), lambda k, v: k.rlike(r"^m\d+$"))))
+    nested = F.flatten(F.transform(F.coalesce(inner, _none()), lambda m: F.when(at(m, "first_group.group").isNotNull() & at(m, "last_group.group").isNotNull(), F.coalesce(schedule.groups_between(known, at(m, "first_group.group"), at(m, "last_group.group")), _none())).otherwise(texts(at(m, "group.group", "groups", "group"), "group.group", "group"))))
     return (
         F.when(at(d, "group.group").isNotNull(), F.array(at(d, "group.group")))
         .when(first.isNotNull() & last.isNotNull(), schedule.groups_between(known, first, last))
-        .otherwise(F.array_distinct(texts(at(d, "groups", "group"), "group.group", "group")))
+        .when(at(d, "groups", "group").isNotNull(), F.array_distinct(texts(at(d, "groups", "group"), "group.group", "group")))
+        .otherwise(F.array_distinct(nested))
     )
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import colorsys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import joined_letters
+from gridloom.operators.classify import json_text
 from gridloom.operators.grid import points
 
 PALETTE = 11
@@ -52,6 +55,13 @@ def annotations(matches: DataFrame) -> DataFrame:
     return matches.groupBy("doc_id", "l", "t").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("note"))
 
 
+def painted(matches: DataFrame) -> DataFrame:
+    """(doc_id, x, y, colour, note): points in the colour of their best match's pattern, with the notes of what begins there."""
+    shades = F.array(*[F.lit("".join(f"{round(v * 255):02X}" for v in colorsys.hls_to_rgb(i / PALETTE, 0.8, 0.6))) for i in range(PALETTE)])
+    best = best_per_cell(matches).join(colours(matches), ["doc_id", "pattern"]).select("doc_id", F.col("px").alias("x"), F.col("py").alias("y"), F.get(shades, F.col("colour")).alias("colour"))
+    return best.join(annotations(matches).select("doc_id", F.col("l").alias("x"), F.col("t").alias("y"), "note"), ["doc_id", "x", "y"], "full")
+
+
 def confidence_colours(found: DataFrame, share: float = 0.4) -> DataFrame:
     """(doc_id, cell_id, colour, note): red up to 0.5, green from 0.85, else amber, by the best type; types of at least that share of it are listed."""
     best = found.groupBy("doc_id", "cell_id").agg(F.max("precision").alias("best"), F.array_sort(F.collect_list(F.struct((-F.col("precision")).alias("p"), "cell_type"))).alias("types"))
@@ -75,6 +85,47 @@ def serialised(matches: DataFrame) -> DataFrame:
     return out.select("doc_id", "match_id", F.to_json(F.struct("pattern", "precision", box_fields().alias("box"), "content", F.size(shaped).alias("component_count"), shaped.alias("components"))).alias("json"))
 
 
+def summaries(matches: DataFrame, among: DataFrame, *by: str) -> DataFrame:
+    """(by, json): the matches of a document, or of a wave of it, as one JSON text with the number of each pattern's; ``among`` holds their components."""
+    shown = serialised(among).join(matches.select("doc_id", "match_id", "ord", *[b for b in by if b != "doc_id"]), ["doc_id", "match_id"])
+    listed = shown.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "match_id", "json"))), lambda m: m["json"]), ",").alias("list"))
+    tally = matches.groupBy(*by, "pattern").agg(F.count(F.lit(1)).alias("n")).groupBy(*by)
+    tally = tally.agg(F.sum("n").alias("total"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pattern", "n"))))).alias("counts"))
+    text = F.format_string('{"total":%d,"pattern_counts":%s,"matches":[%s]}', "total", "counts", "list")
+    return listed.join(tally, list(by)).select(*by, text.alias("json"))
+
+
+def trees(matches: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, match_id, json): each root with all it is made of, down to ``depth`` levels below it, nested.
+
+    The levels are joined from the deepest up, so that a match is shaped once however often it is used.
+    """
+    live = matches.join(reachable(matches, roots, depth), ["doc_id", "match_id"], "left_semi")
+    edges = live.select("doc_id", "match_id", F.posexplode("children").alias("i", "c")).select("doc_id", "match_id", "i", "c.name", "c.child")
+    own = live.select("doc_id", "match_id", F.to_json(F.struct("pattern", "precision", box_fields().alias("box"), "content")).alias("head"))
+    shaped = own.select("doc_id", "match_id", F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"components":[]}')).alias("json"))
+    for _ in range(depth):
+        below = edges.join(shaped.withColumnRenamed("match_id", "child"), ["doc_id", "child"])
+        part = F.concat(F.lit('{"name":'), json_text(F.col("name")), F.lit(',"match":'), F.col("json"), F.lit("}"))
+        parts = below.groupBy("doc_id", "match_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))), lambda x: x["part"]), ",").alias("parts"))
+        text = F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"components":['), F.coalesce("parts", F.lit("")), F.lit("]}"))
+        shaped = own.join(parts, ["doc_id", "match_id"], "left").select("doc_id", "match_id", text.alias("json"))
+    return shaped.join(roots.select("doc_id", "match_id"), ["doc_id", "match_id"], "left_semi")
+
+
+def positioned(matches: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Matches whose content says where it stands: ``@box`` beside an area's parts, an array's ``@items`` or a cell's ``content``.
+
+    ``kinds`` gives each pattern's kind, for patterns that have no match too; static data and their ``@content`` stay as they are.
+    """
+    place = F.concat(F.lit('{"@box":'), F.to_json(box_fields()))
+    named = lambda name: F.concat(place, F.lit(f',"{name}":'), F.col("content"), F.lit("}"))
+    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("pattern")]
+    inner = F.concat(place, F.when(F.col("content") == "{}", "").otherwise(","), F.substr("content", F.lit(2)))
+    shaped = F.when(F.col("content").startswith("{"), inner).when(kind.startswith("array"), named("@items")).otherwise(named("content"))
+    return matches.withColumn("content", shaped)
+
+
 def text_content(texts: Column) -> Column:
     """Texts of a match with single characters joined."""
     return joined_letters(texts)

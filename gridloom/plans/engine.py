@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.areas import above_threshold, area_matches, in_regions, settled
@@ -66,6 +66,12 @@ class Matched:
             out = out.unionByName(df)
         return out
 
+    def noted(self, p: Pattern, documents: DataFrame, code: str, message: str, expected: str, actual: Column, wave: int | None = None) -> None:
+        """A warning of a pattern for each of the documents."""
+        self._issues.append(
+            documents.select(F.col("doc_id").cast("string"), F.lit("warning").alias("severity"), F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit(p.name).alias("pattern_name"), F.lit(wave).cast("int").alias("wave_index"), F.lit(expected).alias("expected"), actual.cast("string").alias("actual"))
+        )
+
     def checked(self, p: Pattern, found: DataFrame, wave: int) -> DataFrame:
         """Counts of each document, of those without matches too, against count_in_document: a mismatch is noted, and what is beyond the upper limit left out."""
         span = p.count_in_document
@@ -83,9 +89,7 @@ class Matched:
             bad = bad | (F.col("n") > span.stop)
         codes = [(COUNT_MISMATCH, bad)] + ([(LIMIT_APPLIED, F.col("n") > span.stop)] if span.stop is not None else [])
         for code, test in codes:
-            self._issues.append(
-                counts.where(test).select(F.col("doc_id").cast("string"), F.lit("warning").alias("severity"), F.lit(code).alias("code"), F.lit(f"count of {p.name} is not {text}").alias("message"), F.lit(p.name).alias("pattern_name"), F.lit(wave).alias("wave_index"), F.lit(text).alias("expected"), F.col("n").cast("string").alias("actual"))
-            )
+            self.noted(p, counts.where(test), code, f"count of {p.name} is not {text}", text, F.col("n"), wave)
         if span.stop is None:
             return found
         w = Window.partitionBy("doc_id").orderBy("ord", "match_id")
@@ -128,6 +132,9 @@ def run(grammar: Grammar, cells: DataFrame, target: str | None = None, everythin
         out.own[name] = keep(out.own[name].dropDuplicates(["doc_id", "match_id"]), name)
         out.wave.setdefault(name, wave)
 
+    for p in grammar.patterns.values():
+        if p.name in live and p.overlap.unknown is not None:
+            out.noted(p, out.documents, OVERLAP_MODE, f"overlap mode of {p.name} is not known", "none|full|partial", F.lit(p.overlap.unknown))
     for i, names in enumerate(grammar.waves()):
         if not everything and grammar.root in names:
             names = [grammar.root]

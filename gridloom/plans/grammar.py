@@ -24,16 +24,17 @@ class Overlap:
 
     mode: str = "none"
     criteria: list[tuple[str, int]] = field(default_factory=list)
+    unknown: str | None = None
 
     @classmethod
     def parse(cls, data: dict | None) -> Overlap:
         """No section means no resolution; a section means ``full`` unless it says otherwise."""
         if data is None:
             return cls()
-        mode = data.get("mode", "full")
+        mode, unknown = data.get("mode", "full"), None
         if mode not in ("none", "full", "partial"):
             log.warning("overlap mode %r is not known; full is used", mode)
-            mode = "full"
+            mode, unknown = "full", str(mode)
         raw = data.get("resolution", ["area-max", "precision-max"])
         criteria = []
         for item in raw if isinstance(raw, list) else ["area-max", "precision-max"]:
@@ -42,7 +43,7 @@ class Overlap:
                 criteria.append((metric, 1 if order == "max" else -1))
             else:
                 log.warning("overlap criterion %r is not known", item)
-        return cls(mode, criteria) if criteria else cls()
+        return cls(mode, criteria, unknown) if criteria else cls()
 
 
 @dataclass

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import schedule
+
 
 def write_json_text(df: DataFrame, path: str, column: str = "json") -> None:
     """One JSON text a line."""
@@ -35,3 +37,9 @@ def read_metadata(spark, path: str) -> DataFrame:
     """(path, original_title): of exported documents below a path."""
     files = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").schema("title struct<original_title:string>").json(path)
     return files.select(F.input_file_name().alias("path"), "title.original_title")
+
+
+def rebuild_metadata(spark, path: str, target: str) -> None:
+    """Reads the exported documents below a path and writes the metadata that follow from each one's path and title, one JSON a line."""
+    found = read_metadata(spark, path).select("path", schedule.schedule_metadata(F.col("path"), F.col("original_title")).alias("metadata"))
+    found.select("path", "metadata.*").orderBy("path").write.mode("overwrite").json(target)
