@@ -365,9 +365,13 @@ def area_packing(spark, d):
     return _boxes(matched(spark, d, _area({"a": {"pattern": "act"}, "b": {"pattern": "act"}}, size="2 x 1")).lookup("area"))
 
 
-@query()
+@query(f"""WITH {EV}, {islands('x', 'click', 'view')}, s AS (SELECT doc_id, x, y FROM ev WHERE content = 'signup'),
+nx AS (SELECT s.doc_id, s.x, s.y, min(a.l) AS l FROM s JOIN a ON a.doc_id = s.doc_id AND a.t = s.y AND a.l > s.x GROUP BY ALL),
+f AS (SELECT doc_id, y, l, min(x) AS x FROM nx GROUP BY ALL),
+m AS (SELECT f.doc_id, f.x, f.y, f.l, count(*) AS items FROM f JOIN ev e ON e.doc_id = f.doc_id AND e.y = f.y AND e.x > f.x AND e.content IN ('click', 'view') GROUP BY ALL)
+SELECT m.doc_id, m.x AS l, m.y AS t, a.r, m.y + 1 AS b, round((1 + CASE WHEN items = 1 THEN 1 ELSE 1 - 0.5 / a.n END) / 2, 6)::DOUBLE AS precision FROM m JOIN a ON a.doc_id = m.doc_id AND a.t = m.y AND a.l = m.l""")
 def array_in_context(spark, d):
-    """An array searched in the region that an area's other component leaves; tests compare it with brute force."""
+    """An array searched in the region that an area's other component leaves: the first run after a head, and of heads with the same run the first."""
     parts = {"head": {"pattern": "signup", "location": "left, top, bottom"}, "rest": {"pattern": "run", "location": "right, top, bottom"}}
     run_ = {"run": {"kind": "array-in-context", "item_pattern": "act", "direction": "row", "item_count": "1+"}}
     return _boxes(matched(spark, d, run_ | _area(parts, size="2+ x 1")).lookup("area"))
@@ -559,3 +563,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["parse_event_grids"] = flagship
+SQL["parse_event_grids"] = f"""WITH {EV}, {islands('x', 'click', 'view')}
+SELECT doc_id, content AS pattern, x AS l, y AS t, x + 1 AS r, y + 1 AS b, 1.0::DOUBLE AS precision, '"' || content || '"' AS content FROM ev
+UNION ALL SELECT a.doc_id, 'arr', l, t, r, b, 1 - 0.5::DOUBLE / n, (SELECT '[' || string_agg('"' || content || '"', ',' ORDER BY x) || ']' FROM i WHERE i.doc_id = a.doc_id AND i.y = a.t AND i.x >= a.l AND i.x < a.r)
+  FROM a JOIN total ON a.doc_id = total.doc_id WHERE n >= 2 AND total > 1
+UNION ALL SELECT p.doc_id, 'area', p.x, p.y, p.x + 2, p.y + 1, 1.0, '{{"a":"view","b":"click"}}' FROM ev p JOIN ev q ON p.doc_id = q.doc_id AND p.y = q.y AND q.x = p.x + 1 WHERE p.content = 'view' AND q.content = 'click'"""

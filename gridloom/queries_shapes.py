@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import intervals as iv
 from gridloom.functions import shapes
+from gridloom.functions import schedule
+from gridloom.functions.text import joined_letters
 from gridloom.operators import grid
+from gridloom.plans.constraints import Algebra, box_is_sound, inside_container, relation_test
 from gridloom.queries import PAIRS, _pairs, _t, query
 
 SEGMENTS = """x AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 11 END AS a0, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 11 + p_size % 6 END AS a1,
@@ -126,3 +129,38 @@ def box_points_ordered(spark, d):
     """A box's points up each column, columns from the right, without the top left one."""
     boxes = _pairs(spark, d).select("pk", "p.*")
     return grid.ordered_points(boxes, "up", "left", exclude_top_left=True).select("pk", "px", "py", F.col("pos").cast("int").alias("pos"))
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT pk, pl < ql AS a, pb - pt >= 2 AS b, pl <= ql AND pt <= qt AND qr <= pr AND qb <= pb AS held, pr - pl AS w, ql FROM pq)
+SELECT pk, a AND b AS both_, a OR b AS either, a <> b AS one_, NOT a AS none_, held, true AS sound, w * 2 - 1 > ql AND w % 2 = 1 AS named FROM c""")
+def algebra_logic(spark, d):
+    """Conditions joined, negated and renamed; what holds for any box, and for one in another."""
+    a, b = Algebra("p_l < q_l"), Algebra("p_h >= 2")
+    named = Algebra("x * k - 1 > other_l and x % 2 == 1").replaced({"x": "p_w", "k": 2, "other_l": "q_l"})
+    tests = {"both_": a.joined(b, "and"), "either": a.joined(b, "or"), "one_": a.joined(b, "xor"), "none_": a.negated(), "held": inside_container("q", "p"), "sound": box_is_sound("p"), "named": named}
+    boxes = {"p": F.col("p"), "q": F.col("q")}
+    return _pairs(spark, d).select("pk", *[t.over_boxes(boxes).alias(n) for n, t in tests.items()])
+
+
+@query(f"WITH {PAIRS} SELECT pk, pl = ql AS same, pl < ql AS below, ql - pl > 1 AS far, abs(ql - pl) = 2 AS two_off, ql - pl >= 3 AS three_on FROM pq")
+def number_relations(spark, d):
+    forms = {"same": "=", "below": "<", "far": "<<", "two_off": "<2>", "three_on": "<3+<"}
+    return _pairs(spark, d).select("pk", *[relation_test(s)(F.col("p.l"), F.col("q.l")).alias(n) for n, s in forms.items()])
+
+
+@query("SELECT n_nationkey AS k, n_name || ',II,' || n_name AS joined FROM nation")
+def joined_single_letters(spark, d):
+    """Texts of single letters become one text each time they stand together."""
+    letters = F.split("n_name", "")
+    texts = F.concat(letters, F.array(F.lit("II")), letters)
+    return _t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.array_join(joined_letters(texts), ",").alias("joined"))
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'Ann,Bob' ELSE 'Ann,R-' || p_size || ',Bob' END AS teachers, 'R-' || p_size || ',S' AS places FROM part""")
+def teachers_and_places(spark, d):
+    """A teacher who is spelt as a place is none; places that differ in blanks and case are one."""
+    room = F.concat(F.lit("R-"), F.col("p_size").cast("string"))
+    people = F.array(F.lit("Ann"), room, F.lit("Bob"))
+    rooms = F.when(F.col("p_size") % 2 == 0, F.array(room, F.lit("S"))).otherwise(F.array(F.lit("S")))
+    places = schedule.distinct_places(F.array(room, F.lower(room), F.lit("S"), F.lit(" s")))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.array_join(schedule.teachers_without_places(people, rooms), ",").alias("teachers"), F.array_join(places, ",").alias("places"))

@@ -22,6 +22,14 @@ REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 THEME = ("lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6")
 SIDES = ("left", "right", "top", "bottom")
 SCALE = 240
+#: The format's numbered colours; the first eight stand twice, and the last two are the system's text and ground.
+NUMBERED = """
+000000 FFFFFF FF0000 00FF00 0000FF FFFF00 FF00FF 00FFFF 000000 FFFFFF FF0000 00FF00 0000FF FFFF00 FF00FF 00FFFF
+800000 008000 000080 808000 800080 008080 C0C0C0 808080 9999FF 993366 FFFFCC CCFFFF 660066 FF8080 0066CC CCCCFF
+000080 FF00FF FFFF00 00FFFF 800080 800000 008080 0000FF 00CCFF CCFFFF CCFFCC FFFF99 99CCFF FF99CC CC99FF FFCC99
+3366FF 33CCCC 99CC00 FFCC00 FF9900 FF6600 666699 969696 003366 339966 003300 333300 993300 993366 333399 333333
+000000 FFFFFF
+""".split()
 
 
 def tinted(rgb: str, tint: float) -> str:
@@ -73,7 +81,10 @@ class Workbook:
             return e.get("rgb")[-6:].upper()
         if e.get("theme") and int(e.get("theme")) < len(self.theme):
             return tinted(self.theme[int(e.get("theme"))], float(e.get("tint", 0)))
-        return f"indexed:{e.get('indexed')}" if e.get("indexed") else None
+        if e.get("indexed"):
+            i = int(e.get("indexed"))
+            return NUMBERED[i] if i < len(NUMBERED) else f"indexed:{i}"
+        return None
 
     def _formats(self) -> list[tuple]:
         root = self._xml("xl/styles.xml")

@@ -113,3 +113,12 @@ def test_run_folder(spark, tmp_path):
     assert t["table"]["datetime"]["weeks"]["first_week"] == [{"week_day_index": 2, "calendar": [{"month_index": 0, "month_days": ["3"]}]}]
     rebuild_metadata(spark, str(target), str(tmp_path / "meta"))
     assert any("ФЭВТ" in line for f in (tmp_path / "meta").glob("*.json") for line in f.read_text("utf-8").splitlines())
+
+
+def test_numbered_colours():
+    raw = workbook([(0, 0, 1, 1, "a", "FF0000", None)])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(raw)) as z, zipfile.ZipFile(out, "w") as w:
+        for n in z.namelist():
+            w.writestr(n, z.read(n).replace(b'rgb="FFFF0000"', b'indexed="23"'))
+    assert [c[5][1] for c in Workbook(out.getvalue()).cells()] == ["808080"]
