@@ -100,21 +100,25 @@ def _kernel(p: Pattern, keys: list[str], direction: str):
             yield from out.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        """Holds the batches of the group that isn't over yet; each batch's keys are looked at once."""
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            who = list(zip(*(held.column(k).to_pylist() for k in keys)))
+            who = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys)))
             cut = len(who) - 1
             while cut and who[cut - 1] == who[-1]:
                 cut -= 1
-            if cut:
-                yield from done(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield from done(held)
+            if cut or who[0] != last:
+                whole = [*held, batch.slice(0, cut)] if cut else held
+                if whole:
+                    yield from done(pa.Table.from_batches(whole))
+                held = []
+            held.append(batch.slice(cut))
+            last = who[-1]
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     return run
 

@@ -89,6 +89,20 @@ def static_content(spark, d):
     return x.select("doc_id", "l", "t", "x.fixed", F.array_join(items, ",").alias("items"))
 
 
+@query(f"WITH {EV} SELECT c.doc_id, c.x AS l, c.y AS t FROM ev c JOIN ev p ON c.doc_id = p.doc_id AND c.y = p.y AND p.x = c.x - 1 WHERE c.content = 'click' AND p.content = 'error'")
+def area_outer_adjacent(spark, d):
+    """An outer component that lies right beside the area."""
+    m = matched(spark, d, _area(SPOT, {"other": {"pattern": "error", "location": {"left": 0}}}))
+    return m.lookup("area").select("doc_id", "l", "t")
+
+
+@query(f"WITH {EV} SELECT c.doc_id, c.x AS l, c.y AS t FROM ev c WHERE c.content = 'click' AND EXISTS (SELECT 1 FROM ev p WHERE c.doc_id = p.doc_id AND c.y = p.y AND p.content = 'error' AND c.x - p.x - 1 BETWEEN 1 AND 2)")
+def area_outer_margin(spark, d):
+    """An outer component one or two cells away."""
+    m = matched(spark, d, _area(SPOT, {"other": {"pattern": "error", "location": {"left": "1..2"}}}))
+    return m.lookup("area").select("doc_id", "l", "t")
+
+
 _LEFT = "EXISTS (SELECT 1 FROM ev p WHERE p.doc_id = c.doc_id AND p.y = c.y AND p.x < c.x AND p.content = 'purchase')"
 
 

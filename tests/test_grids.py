@@ -172,3 +172,42 @@ def test_entry_without_the_training_data_operators(tmp_path, folders):
         shutil.rmtree(p, ignore_errors=True) if p.is_dir() else p.unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'array_row' in q and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "r")})
+
+
+def test_tiled_blocks(spark):
+    """Blocks of nine located components, some side by side: of all that overlap the most that fit together stay."""
+    at = [(1, 2), (1, 5), (4, 4), (4, 7), (6, 1)]
+    full = {(x + i, y + j) for x, y in at for i in range(3) for j in range(3)}
+    board = "\n".join("\t".join("o" if (x, y) in full else "" for x in range(9)) for y in range(10))
+    inner = {f"c{i}{j}": {"pattern": "ring", "location": {"left": i, "top": j}} for j in range(3) for i in range(3)}
+    data = {"cell_types": GRAMMAR["cell_types"], "patterns": {"ring": {"kind": "cell", "content_type": "ring"}, "block": {"kind": "area", "root": True, "size": "3 x 3", "inner": inner}}}
+    found = run(read_grammar(data), text_cells(docs(spark, ("a", board)), "d", "t"))
+    assert boxes(found.lookup("block")) == sorted((x, y, 3, 3) for x, y in at)
+
+
+def test_islands_and_beaches(spark):
+    """Land of two kinds of cells in the water, and the water beside it, from left and right."""
+    sea = ["~~~~~~~~", "~~~~~~~~", "~~#T##~~", "~~T~~#~~", "~~#TT#~~", "~~~~~~~~"]
+    types = [{n: {"patterns": [{"pattern": s, "pattern_syntax": "plain", "confidence": 1.0}]}} for n, s in (("water", "~"), ("sand", "#"), ("tree", "T"))]
+    side = lambda s: {"kind": "area", "inner": {"land": {"pattern": "earth", "location": "left, top, right, bottom"}}, "outer": {"sea": {"pattern": "water", "location": {s: 0}}}}
+    patterns = {n: {"kind": "cell", "content_type": n, "extends": [] if n == "water" else ["earth"]} for n in ("water", "sand", "tree")}
+    patterns |= {"earth": {"kind": "general"}, "island": {"kind": "array", "item_pattern": "earth", "direction": "fill", "item_count": "2+"}, "beach_l": side("left"), "beach_r": side("right")}
+    found = run(read_grammar({"cell_types": types, "patterns": patterns}), text_cells(docs(spark, ("a", "\n".join(sea))), "d", "t", ""), everything=True)
+    assert boxes(found.lookup("island")) == [(2, 2, 4, 3)]
+    assert boxes(found.lookup("beach_l")) == [(2, 2, 1, 1), (2, 3, 1, 1), (2, 4, 1, 1), (5, 3, 1, 1)]
+    assert boxes(found.lookup("beach_r")) == [(2, 3, 1, 1), (5, 2, 1, 1), (5, 3, 1, 1), (5, 4, 1, 1)]
+
+
+def test_groups_over_many_batches(spark):
+    """Groups that go over many Arrow batches are clustered whole."""
+    grid = "\n".join("\t".join("o" if (x // 3 + y) % 2 else "" for x in range(30)) for y in range(20))
+    data = {"cell_types": GRAMMAR["cell_types"], "patterns": {"ring": {"kind": "cell", "content_type": "ring"}, "runs": {"kind": "array", "item_pattern": "ring", "direction": "row", "item_count": "1..2", "allow_breakdown": True}}}
+    cells = text_cells(docs(spark, *[(n, grid) for n in "abc"]), "d", "t")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = sorted(map(tuple, run(read_grammar(data), cells, everything=True).lookup("runs").select("doc_id", "l", "t", "r", "b").collect()))
+    spark.conf.set(size, 7)
+    try:
+        assert sorted(map(tuple, run(read_grammar(data), cells, everything=True).lookup("runs").select("doc_id", "l", "t", "r", "b").collect())) == whole
+    finally:
+        spark.conf.unset(size)
+    assert len(whole) == 3 * 20 * 5 * 2 and {r[3] - r[1] for r in whole} == {1, 2}
