@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import colorsys
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,18 +11,34 @@ from pyspark.sql import functions as F
 from gridloom.functions.text import joined_letters
 from gridloom.operators.classify import json_text
 from gridloom.operators.grid import points
+from gridloom.staging import staged
 
 PALETTE = 11
 
 
-def reachable(matches: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, match_id): the roots and all they are made of, down to ``depth`` levels (the number of waves bounds it)."""
+def _levels(matches: DataFrame, roots: DataFrame, depth: int) -> list[DataFrame]:
+    """(doc_id, match_id) by level: the roots, what they are made of, and so on while there is anything, down to ``depth``.
+
+    Deeper walks stage each level, so that the next one reads a table instead of repeating the walk.
+    """
+    keep = (lambda df: staged(df, "level")) if depth > 1 else (lambda df: df)
     edges = matches.select("doc_id", "match_id", F.explode("children.child").alias("child"))
-    out = level = roots.select("doc_id", "match_id").distinct()
+    out = [keep(roots.select("doc_id", "match_id").distinct())]
     for _ in range(depth):
-        level = level.join(edges, ["doc_id", "match_id"]).select("doc_id", F.col("child").alias("match_id")).distinct()
-        out = out.union(level)
-    return out.distinct()
+        level = keep(out[-1].join(edges, ["doc_id", "match_id"]).select("doc_id", F.col("child").alias("match_id")).distinct())
+        if depth > 1 and level.isEmpty():
+            break
+        out.append(level)
+    return out
+
+
+def _all_levels(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, levels).distinct()
+
+
+def reachable(matches: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, match_id): the roots and all they are made of, down to ``depth`` levels (the number of waves bounds it)."""
+    return _all_levels(_levels(matches, roots, depth))
 
 
 def unused(matches: DataFrame, roots: DataFrame, depth: int, patterns: list[str] | None = None) -> DataFrame:
@@ -100,16 +117,18 @@ def trees(matches: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
     The levels are joined from the deepest up, so that a match is shaped once however often it is used.
     """
-    live = matches.join(reachable(matches, roots, depth), ["doc_id", "match_id"], "left_semi")
+    levels = _levels(matches, roots, depth)
+    keep = (lambda df, n: staged(df, n)) if len(levels) > 2 else (lambda df, n: df)
+    live = keep(matches.join(_all_levels(levels), ["doc_id", "match_id"], "left_semi"), "live")
     edges = live.select("doc_id", "match_id", F.posexplode("children").alias("i", "c")).select("doc_id", "match_id", "i", "c.name", "c.child")
     own = live.select("doc_id", "match_id", F.to_json(F.struct("pattern", "precision", box_fields().alias("box"), "content")).alias("head"))
     shaped = own.select("doc_id", "match_id", F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"components":[]}')).alias("json"))
-    for _ in range(depth):
+    for _ in levels[1:]:
         below = edges.join(shaped.withColumnRenamed("match_id", "child"), ["doc_id", "child"])
         part = F.concat(F.lit('{"name":'), json_text(F.col("name")), F.lit(',"match":'), F.col("json"), F.lit("}"))
         parts = below.groupBy("doc_id", "match_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))), lambda x: x["part"]), ",").alias("parts"))
         text = F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"components":['), F.coalesce("parts", F.lit("")), F.lit("]}"))
-        shaped = own.join(parts, ["doc_id", "match_id"], "left").select("doc_id", "match_id", text.alias("json"))
+        shaped = keep(own.join(parts, ["doc_id", "match_id"], "left").select("doc_id", "match_id", text.alias("json")), "shaped")
     return shaped.join(roots.select("doc_id", "match_id"), ["doc_id", "match_id"], "left_semi")
 
 

@@ -65,11 +65,11 @@ def timetables(matched: Matched, documents: DataFrame) -> DataFrame:
     at = F.expr("slice(path, 1, size(path) - 1)")
     month = children(matches, dates, "month_name").select("doc_id", at.alias("path"), _word(F.col("content")).alias("month"))
     number = children(matches, dates, "month_day").select("doc_id", at.alias("path"), _word(F.col("content")).alias("month_day"))
-    size = F.expr("size(week_path)")
+    # The paths of weeks, days and dates begin with one another's, each of a length of its own.
+    cut = lambda n: F.slice("path", F.lit(1), F.lit(n))
     placed = weeks.select("doc_id", "week", F.col("path").alias("week_path"))
-    calendar = month.join(number, ["doc_id", "path"]).join(placed, "doc_id").where(F.slice("path", F.lit(1), size) == F.col("week_path"))
-    # A day's path is its week's and two steps more: the array of days, and its place there.
-    calendar = calendar.withColumn("day", F.slice("path", F.lit(1), size + 2)).join(day_name, ["doc_id", "day"])
+    calendar = month.join(number, ["doc_id", "path"]).withColumn("week_path", cut(4)).withColumn("day", cut(6))
+    calendar = calendar.join(placed, ["doc_id", "week_path"]).join(day_name, ["doc_id", "day"])
     calendar = calendar.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))).select("doc_id", "week", "week_day", "month", "month_day", "ord")
     titles = documents.select("doc_id").distinct().join(title, "doc_id", "left").withColumn("path", F.col("doc_id").cast("string"))
     return export.documents(titles, export.lessons(found), export.calendar(calendar))
