@@ -171,3 +171,11 @@ def odd_dates(spark, d):
     # A day over 12 after its month is turned round, so both spellings are one date there.
     full = F.date_format("o_orderdate", "dd.MM.yyyy")
     return o.select("o_orderkey", F.array_join(F.when(F.dayofmonth("o_orderdate") > 12, F.concat(found, F.array(full))).otherwise(found), ",").alias("d"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%d.%m.') || CASE WHEN month(o_orderdate) > 6 THEN '2025' ELSE '2026' END || ',by request,01.09.2025,02.09.2025,soon' AS d FROM orders""")
+def explicit_dates(spark, d):
+    """Dates set by hand: two of them glued together, and words that are none, which stay."""
+    o = _t(spark, d, "orders")
+    raw = F.array(F.concat(F.date_format("o_orderdate", "d.M"), F.lit("; by request,")), F.lit("01.09.02.09"), F.lit(None).cast("string"), F.lit(" soon.\n"))
+    return o.select("o_orderkey", F.array_join(schedule.explicit_dates(raw, F.lit("2025-2026")), ",").alias("d"))
