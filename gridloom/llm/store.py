@@ -7,6 +7,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from gridloom.staging import shared_dir
 
 #: Bytes of a batch that goes to a Python worker or comes back.
 ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+#: Spark's setting for shuffle files to be removed with their query.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[str] = []
 
 
@@ -37,6 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go as it ends; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
 def dropped(df: DataFrame) -> None:
     """Removes what ``written`` wrote for ``df``; nobody may read it afterwards."""
     path = getattr(df, "_gridloom_path", None)

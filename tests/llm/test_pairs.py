@@ -1,11 +1,18 @@
 """Near duplicates, contamination and components against brute force."""
 
+import contextlib
+import gc
+import os
 import random
 import re
+import threading
+import time
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from gridloom.llm import decontaminate, ngram_join, pstable
 from gridloom.llm.components import connected_components
@@ -67,6 +74,52 @@ def test_near_vectors(spark, monkeypatch):
     assert pstable.near_vectors(df.limit(0), "vec_id", "v").count() == 0
 
 
+def test_near_vectors_disk(spark, monkeypatch, tmp_path):
+    """What lies on disk at once is a few times the vectors, though each is sent for 30 tables."""
+    from gridloom.llm import store
+
+    monkeypatch.setattr(pstable, "ROUND", 0, raising=False)
+    monkeypatch.setattr(store, "shared_dir", lambda _: str(tmp_path))
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((30_000, 64)).astype(np.float32)
+    v[1::3] = v[::3] + 0.2 * v[1::3]
+    path = f"{tmp_path}-in"
+    pq.write_table(pa.table({"k": np.arange(len(v)), "v": pa.FixedSizeListArray.from_arrays(v.ravel(), 64).cast(pa.list_(pa.float32()))}), path)
+    folders = [str(tmp_path), *(str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+    over, seen = threading.Event(), [0]
+
+    def used():
+        files = (os.path.join(d, x) for f in folders for d, _, names in os.walk(f) for x in names)
+        return sum(os.path.getsize(x) for x in files if os.path.exists(x))
+
+    def watch():
+        while not over.wait(0.1):
+            with contextlib.suppress(OSError):
+                seen.append(used())
+
+    for _ in range(2):  # what other tests left
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+    before = used()
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = pstable.near_vectors(spark.read.parquet(path), "k", "v").agg({"n_links": "sum"}).first()[0]
+    finally:
+        over.set()
+        watcher.join()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = 2 * int((np.einsum("ij,ij->i", u[::3], u[1::3]) >= 0.9).sum())
+    assert 0.999 * want <= got <= want
+    assert max(seen) - before < 5 * v.nbytes
+
+
+def test_projections_follow_the_table():
+    few, many = (pstable.projections_for(n, 0.9) for n in (10_000, 10_000_000))
+    assert few == pstable.PROJECTIONS < many and pstable.tables_for(0.9, k=many) > pstable.tables_for(0.9, k=few) == 30
+
+
 def test_near_vectors_repeated_and_null_keys(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.01, 1.0]), (3, [5.0, -9.0])], "k long, v array<double>")
     got = sorted(((r.k or 0, r.n_links, r.component_id or 0, r.kept) for r in pstable.near_vectors(df, "k", "v").collect()))
