@@ -6,6 +6,8 @@ the text under a known name; lists of either are read item by item.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,11 @@ def texts(value: Column, *names: str) -> Column:
 
     def leaf(x: Column) -> Column:
         inner = at(x, *names) if names else F.lit(None).cast("string")
-        listed = F.when(inner.startswith("["), F.from_json(inner, "array<string>")).otherwise(F.array(inner))
-        return F.when(x.startswith("{"), listed).otherwise(F.array(x))
+        listed = lambda i: F.when(i.startswith("["), F.from_json(i, "array<string>")).otherwise(F.array(i))
+        return F.when(x.startswith("{"), schedule.let(inner, listed)).otherwise(F.array(x))
 
-    items = F.when(value.startswith("["), F.flatten(F.transform(F.from_json(value, "array<string>"), leaf))).otherwise(leaf(value))
-    clean = F.transform(F.coalesce(items, _none()), lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    items = lambda v: F.when(v.startswith("["), F.flatten(F.transform(F.from_json(v, "array<string>"), leaf))).otherwise(leaf(v))
+    clean = F.transform(F.coalesce(schedule.let(value, items), _none()), lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)^\s+|\s+$", ""))
     return F.filter(clean, lambda t: t != "")
 
 
@@ -52,12 +54,11 @@ def parts(value: Column, *names: str) -> Column:
 
     def opened(x: Column) -> Column:
         places = F.array_sort(F.transform(numbered(x), lambda e: F.struct(F.substr(e["key"], F.lit(2)).try_cast("int").alias("i"), e["value"].alias("v"))))
-        inner = at(x, *names)
-        held = F.when(inner.isNotNull(), F.array(inner)).otherwise(F.transform(places, lambda e: e["v"]))
+        held = schedule.let(at(x, *names), lambda inner: F.when(inner.isNotNull(), F.array(inner)).otherwise(F.transform(places, lambda e: e["v"])))
         listed = F.from_json(x, "array<string>")
         return F.when(x.startswith("{"), F.coalesce(held, _none())).when(x.startswith("["), F.coalesce(listed, F.array(x))).otherwise(F.array(x))
 
-    out = F.when(value.isNull(), _none()).otherwise(F.array(value))
+    out = F.array(value)
     for _ in range(DEPTH):
         out = F.flatten(F.transform(F.filter(out, lambda x: x.isNotNull()), opened))
     return out
@@ -67,28 +68,37 @@ def subject(content: Column) -> Column:
     """A lesson's subject from its frame's discipline, wherever in it the parts of its name lie; null where there is none."""
     found = F.transform(parts(at(content, "frame.discipline"), "discipline", "discipline_name"), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
     text = F.array_join(F.filter(found, lambda t: (t != "") & ~t.startswith("{")), " ")
-    return F.when(text != "", text)
+    return schedule.let(text, lambda t: F.when(t != "", t))
 
 
 def groups(content: Column, known: Column) -> Column:
     """A lesson's groups: one, a range within the document's groups, a list, or those of the discipline's parts, each once."""
-    d = at(content, "frame.discipline")
-    first, last = at(d, "first_group.group"), at(d, "last_group.group")
-    inner = F.when(d.startswith("{"), F.map_values(F.map_filter(F.from_json(d, "map<string,string>"), lambda k, v: k.rlike(r"^m\d+$"))))
-    nested = F.flatten(F.transform(F.coalesce(inner, _none()), lambda m: F.when(at(m, "first_group.group").isNotNull() & at(m, "last_group.group").isNotNull(), F.coalesce(schedule.groups_between(known, at(m, "first_group.group"), at(m, "last_group.group")), _none())).otherwise(texts(at(m, "group.group", "groups", "group"), "group.group", "group"))))
-    return (
-        F.when(at(d, "group.group").isNotNull(), F.array(at(d, "group.group")))
-        .when(first.isNotNull() & last.isNotNull(), schedule.groups_between(known, first, last))
-        .when(at(d, "groups", "group").isNotNull(), F.array_distinct(texts(at(d, "groups", "group"), "group.group", "group")))
-        .otherwise(F.array_distinct(nested))
-    )
+
+    def ranged(d: Column, otherwise: Callable[[Column], Column]) -> Column:
+        ends = F.array(at(d, "first_group.group"), at(d, "last_group.group"))
+        return schedule.let(ends, lambda e: F.when(e[0].isNotNull() & e[1].isNotNull(), schedule.groups_between(known, e[0], e[1])).otherwise(otherwise(d)))
+
+    def nested(d: Column) -> Column:
+        inner = F.when(d.startswith("{"), F.map_values(F.map_filter(F.from_json(d, "map<string,string>"), lambda k, v: k.rlike(r"^m\d+$"))))
+        own = lambda m: texts(at(m, "group.group", "groups", "group"), "group.group", "group")
+        return F.flatten(F.transform(F.coalesce(inner, _none()), lambda m: F.coalesce(ranged(m, own), _none())))
+
+    def several(d: Column) -> Column:
+        listed = lambda g: F.when(g.isNotNull(), F.array_distinct(texts(g, "group.group", "group"))).otherwise(F.array_distinct(nested(d)))
+        return schedule.let(at(d, "groups", "group"), listed)
+
+    def read(d: Column) -> Column:
+        return schedule.let(at(d, "group.group"), lambda one: F.when(one.isNotNull(), F.array(one)).otherwise(ranged(d, several)))
+
+    return schedule.let(at(content, "frame.discipline"), read)
 
 
 def _hours(content: Column) -> Column:
     own = texts(at(content, "explicit_hours"), "hour_range")
     frame = F.concat(texts(at(content, "frame.hour_begin"), "hour_range"), texts(at(content, "frame.hour_end"), "hour_range"))
     one, inner = texts(at(content, "frame.hour_1"), "hour_range"), texts(at(content, "frame.discipline.hour_begin"), "hour_range")
-    return F.when(F.size(own) > 0, own).when(F.size(frame) > 0, frame).when(F.size(one) > 0, one).otherwise(inner)
+    held = lambda c: schedule.let(c, lambda v: F.when(F.size(v) > 0, v))
+    return F.coalesce(held(own), held(frame), held(one), inner)
 
 
 def lessons(found: DataFrame) -> DataFrame:

@@ -39,6 +39,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key over as many tasks as a shuffle has: few tasks read a small file, however long each row takes."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events as a grid: a row a day, the day's events side by side, their types as contents."""
     e = _t(spark, d, "events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import export, reports
-from gridloom.queries import EV, NEAR, PAIR, SPOT, _area, _array, _t, events, islands, matched, query
+from gridloom.queries import EV, NEAR, PAIR, SPOT, _area, _array, _dealt, _t, events, islands, matched, query
 from gridloom.sources.grids import as_cells, table_cells
 from gridloom.sources.workbook import workbooks
 from gridloom.sources.xlsx import xlsx_cells
@@ -157,7 +157,7 @@ def lessons(spark, d):
     day = F.get(F.array(*map(F.lit, export.WEEK_DAYS)), (F.col("p_size") % 6).cast("int"))
     frame = F.concat(F.lit('{"discipline":'), discipline, F.lit(',"hour_begin":'), js(hour_range=F.lit("1-2"), week_day=day), F.lit(',"teacher":'), F.expr("to_json(array(p_brand || '  A.. ;'))"), F.lit(',"room":'), F.expr("to_json(array('R--' || p_size))"), F.lit("}"))
     content = F.concat(F.lit('{"frame":'), frame, F.lit(',"explicit_dates":"6.11, 07.03.2026","lesson_kind":"лекц."}'))
-    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), content.alias("content"), (F.col("p_partkey") % 20).cast("int").alias("t"), (F.col("p_partkey") % 20 + 4).cast("int").alias("b"), F.array(*map(F.lit, "abc")).alias("known_groups"), F.lit(10).alias("week1_bottom"), F.lit("2025-2026").alias("years"))
+    rows = _dealt(_t(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), content.alias("content"), (F.col("p_partkey") % 20).cast("int").alias("t"), (F.col("p_partkey") % 20 + 4).cast("int").alias("b"), F.array(*map(F.lit, "abc")).alias("known_groups"), F.lit(10).alias("week1_bottom"), F.lit("2025-2026").alias("years"))
     x = export.lessons(rows)
     text = lambda c, n: F.array_join(F.col(f"lesson.{c}"), ",").alias(n)
     return x.select(F.col("doc_id").alias("k"), "lesson.subject", text("participants.student_groups", "groups"), "lesson.kind", text("participants.teachers", "teachers"), text("places", "places"), text("hours", "hours"), F.col("lesson.week_day_index").cast("int").alias("day"), "lesson.week", text("holds_on_date", "dates"))

@@ -2,6 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
+
+from __spark_entry__ import queries
+from gridloom.functions import schedule
 from gridloom.operators import export
 
 
@@ -26,3 +30,15 @@ def test_export(spark):
     assert d["table"]["datetime"]["months"] == ["сентябрь", "октябрь"]
     assert d["table"]["datetime"]["weeks"]["first_week"] == [{"week_day_index": 2, "calendar": [{"month_index": 0, "month_days": ["3", "17"]}, {"month_index": 1, "month_days": ["1"]}]}]
     assert out["e"]["table"]["grid"] == [] and out["e"]["title"] == ""
+
+
+def test_a_value_is_worked_out_once():
+    """Lessons took time by how often each part of a text was split anew."""
+    assert str(schedule.single_date(F.col("raw"), F.col("years"))).count("split(") == 1
+    assert str(export._hours(F.col("content"))).count("get_json_object") == 15
+
+
+def test_lessons_of_a_small_file_are_dealt_out(spark, tmp_path):
+    """A file that one task reads."""
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert queries()["lessons"](spark, str(tmp_path)).rdd.getNumPartitions() == 4
