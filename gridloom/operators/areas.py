@@ -8,13 +8,14 @@ optional component's absence is one more branch, of the greatest rank.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.intervals import box_in_maximal, box_union, distance_by_axis, distance_to_overlap, intersect_borders, minimal_box, narrowed, ranged_valid
+from gridloom.functions.intervals import borders_meet, box_in_maximal, box_union, distance_by_axis, distance_to_overlap, intersect_borders, minimal_box, narrowed, ranged_valid
 from gridloom.operators.classify import merged, static_fields
 from gridloom.operators.packing import best_choice, clash_sets
 from gridloom.plans.constraints import child_region, parent_region
@@ -22,6 +23,8 @@ from gridloom.plans.grammar import THRESHOLD, Component, Grammar, Pattern
 
 SKIP = 1 << 30
 CUTOFF, LEAST_CUTOFF = 1, 1
+#: Areas chosen that the solver holds before it hands them on.
+CHOSEN = 10_000
 
 
 def _size(p: Pattern):
@@ -104,7 +107,7 @@ def area_matches(grammar: Grammar, p: Pattern, lookup: Callable[[str], DataFrame
         else:
             cand = candidates(lookup(c.pattern), c, p)
         met = intersect_borders(F.col("rb"), F.col("crb"), _size(p))
-        on = ranged_valid(met) & _related(p, plan[:i], c, at)
+        on = borders_meet(F.col("rb"), F.col("crb")) & ranged_valid(met) & _related(p, plan[:i], c, at)
         for k in keys:
             cand = cand.withColumnRenamed(k, f"c_{k}")
             on = on & (F.col(k) == F.col(f"c_{k}"))
@@ -162,6 +165,10 @@ def above_threshold(matches: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return matches.where(F.col("precision") >= threshold)
 
 
+def _ids(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (kind, pa.string()))], ["doc_id", "match_id"])
+
+
 def settled(matches: DataFrame) -> DataFrame:
     """Of areas that share cells, the arrangement of greatest precision, then of most areas, then farthest to the top left.
 
@@ -173,16 +180,27 @@ def settled(matches: DataFrame) -> DataFrame:
     clashing = shared.select("doc_id", F.explode("who").alias("match_id")).distinct()
     free = matches.join(clashing, ["doc_id", "match_id"], "left_anti")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "match_id"], ignore_index=True)
-        rows = list(pdf[["l", "t", "r", "b", "precision"]].itertuples(index=False))
-        cells = [[(x, y) for x in range(r.l, r.r) for y in range(r.t, r.b)] for r in rows]
-        chosen = best_choice(clash_sets(len(rows), cells), lambda i: (max(0.0, rows[i].precision), 1, -(rows[i].l + rows[i].t)))
-        return pdf.iloc[chosen]
-
-    schema = "doc_id " + dict(matches.dtypes)["doc_id"] + ", match_id string, ord long, l int, t int, r int, b int, precision double"
-    kept = matches.join(clashing, ["doc_id", "match_id"], "left_semi").select("doc_id", "match_id", "ord", "l", "t", "r", "b", "precision").groupBy("doc_id").applyInPandas(solve, schema)
-    return free.unionByName(matches.join(kept.select("doc_id", "match_id"), ["doc_id", "match_id"], "left_semi"))
+    def solve(rows: list[tuple]) -> list[int]:
+        cells = [[(x, y) for x in range(l, r) for y in range(t, b)] for l, t, r, b, _ in rows]
+        return best_choice(clash_sets(len(rows), cells), lambda i: (max(0.0, rows[i][4]), 1, -(rows[i][0] + rows[i][1])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows lie document by document; the ids chosen leave by the batch."""
+        each = ((batch.schema.field(0).type, row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        out: list[tuple] = []
+        kind = None
+        for (kind, doc), mine in groupby(each, key=lambda x: (x[0], x[1][0])):
+            rows = [row for _, row in mine]
+            out += [(doc, rows[i][1]) for i in solve([row[2:] for row in rows])]
+            if len(out) >= CHOSEN:
+                yield _ids(out, kind)
+                out = []
+        if out:
+            yield _ids(out, kind)
+
+    lined = matches.join(clashing, ["doc_id", "match_id"], "left_semi").repartition("doc_id").sortWithinPartitions("doc_id", "ord", "match_id")
+    kept = lined.select("doc_id", "match_id", "l", "t", "r", "b", "precision").mapInArrow(run, f"doc_id {dict(matches.dtypes)['doc_id']}, match_id string")
+    return free.unionByName(matches.join(kept, ["doc_id", "match_id"], "left_semi"))
 
 
 def in_regions(matches: DataFrame, asked: DataFrame) -> DataFrame:

@@ -62,7 +62,11 @@ CELLS = {n: {"kind": "cell", "content_type": n, "extends": ["act"] if n in ("cli
 
 
 def matched(spark: SparkSession, d: str, patterns: dict, stage: bool = False) -> Matched:
-    """The events' grids matched by the cell patterns of event types and others."""
+    """The events' grids matched by the cell patterns of event types and others.
+
+    Areas read the cells and themselves many times over, so they are always staged.
+    """
+    stage = stage or any(p["kind"] == "area" for p in patterns.values())
     return run(read_grammar({"cell_types": TYPES, "patterns": CELLS | patterns}), events(spark, d), everything=True, stage=stage)
 
 
