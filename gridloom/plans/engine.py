@@ -117,7 +117,8 @@ def run(grammar: Grammar, cells: DataFrame, target: str | None = None, everythin
         items = in_regions(out.lookup(p.item_pattern), asked)
         arrays = array_matches(items, p, ["doc_id", "sid"]).withColumn("pord", F.lit(out.order[name]))
         w = Window.partitionBy("doc_id", "sid").orderBy("ord", "match_id")
-        one = arrays.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+        # Read by the search for the area and again for those that it is made of.
+        one = keep(arrays.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n"), "asked")
         used.setdefault(name, []).append(one.drop("sid", "pord"))
         return one
 
